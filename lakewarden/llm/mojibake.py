@@ -95,7 +95,8 @@ def unescape(word: str) -> str | None:
 
 
 class Model:
-    """How implausible a word is: the sum, over its pairs of characters with one outside of ASCII, of -log of their share."""
+    """How implausible a word is: the sum, over its pairs of characters with one outside of ASCII, of -log of
+    their share, and a price for lost controls, odd letter case and escapes."""
 
     def __init__(self, counts: dict[str, int], total: int):
         total = max(total, 1) + 1
@@ -109,7 +110,7 @@ class Model:
         for a, b in zip(low, low[1:], strict=False):
             if a > "\x7f" or b > "\x7f":
                 total += pairs.get(a + b, unseen)
-        return total + 8.0 * len(_DEAD.findall(word)) + 4.0 * len(_CASE.findall(word))
+        return total + 8.0 * len(_DEAD.findall(word)) + 4.0 * len(_CASE.findall(word)) + 6.0 * len(_ESCAPE.findall(word))
 
     def plain(self, word: str) -> bool:
         """Whether all pairs are so common that no other single-byte reading could be more plausible."""
