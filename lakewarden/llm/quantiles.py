@@ -15,13 +15,18 @@ across), so a group with any share of the rows never comes to one task as rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Values per buffer.  2048 keeps the rank error of a billion values below 0.25 %.
 BUFFER = 2048
@@ -30,7 +35,7 @@ SALTS = 64
 #: Values that a task holds before it gives away what it has.
 HELD = 4_000_000
 
-_FIELDS = "n bigint, over bigint, under bigint, smallest double, largest double, turns array<bigint>, tail array<double>, levels array<array<double>>"
+_FIELDS = "n bigint, over bigint, under bigint, smallest double, largest double, turns array<bigint>, sizes array<int>, data array<double>"
 
 
 class Sketch:
@@ -88,76 +93,116 @@ class Sketch:
                 self.levels.append(None)
                 self.turns.append(0)
             self.turns[level] += int(turns)
-        for level, buffer in enumerate(row.levels):
-            if len(buffer):
-                self._carry(np.asarray(buffer, dtype=float), level)
-        if len(row.tail):
-            self._loose(np.asarray(row.tail, dtype=float))
+        at = 0
+        for level, size in enumerate(row.sizes):
+            part = np.asarray(row.data[at : at + size], dtype=float)
+            at += size
+            if size and level:
+                self._carry(part, level - 1)
+            elif size:
+                self._loose(part)
 
     def row(self) -> tuple:
-        tail = np.sort(np.concatenate(self.tail)) if self.held else np.empty(0)
-        return (self.n, self.over, self.under, float(self.smallest), float(self.largest), list(self.turns), tail, [b if b is not None else np.empty(0) for b in self.levels])
+        """What is stored: sizes and data hold the values without a buffer first, then the buffer of each level (or none)."""
+        parts = [np.sort(np.concatenate(self.tail)) if self.held else np.empty(0), *[b if b is not None else np.empty(0) for b in self.levels]]
+        return (self.n, self.over, self.under, float(self.smallest), float(self.largest), self.turns, [len(p) for p in parts], np.concatenate(parts))
 
 
 def weighted(row: object) -> tuple[np.ndarray, np.ndarray]:
     """The values of a stored sketch in order, and the estimated rank of each (values up to and with it)."""
-    parts = [np.asarray(row.tail, dtype=float), *[np.asarray(b, dtype=float) for b in row.levels]]
-    weights = np.concatenate([np.full(len(p), 1 << max(0, i - 1), dtype=np.int64) for i, p in enumerate(parts)])
-    values = np.concatenate(parts)
+    values = np.asarray(row.data, dtype=float)
+    weights = np.concatenate([np.full(size, 1 << max(0, i - 1), dtype=np.int64) for i, size in enumerate(row.sizes)])
     order = np.argsort(values, kind="stable")
     return values[order], np.cumsum(weights[order])
 
 
+def _batch(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def build(df: DataFrame, keys: list[str], value: str, k: int = BUFFER) -> DataFrame:
-    """One sketch per group of ``keys``: the keys, n, over, under, smallest, largest, turns, tail, levels.
+    """One sketch per group of ``keys``: the keys, n, over, under, smallest, largest, turns, sizes, data.
 
-    Null, NaN values are left out; groups without values give no row.  Null keys are a group
+    Null and NaN values are left out; groups without values give no row.  Null keys are a group
     of their own.  Ties and repeated rows all count.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_part", T.IntegerType()), *T.StructType.fromDDL(_FIELDS).fields])
+    schema = _stored(rows, keys)
+    arrow = to_arrow_schema(schema)
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         found: dict[tuple, Sketch] = {}
         held = 0
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(*key, part, *sketch.row()) for key, sketch in found.items()], columns=schema.names)
-
-        for frame in frames:
-            for key, own in frame.groupby(keys, dropna=False, sort=False)["_value"]:
-                name = tuple(None if x is None or x != x else x for x in key)
-                found.setdefault(name, Sketch(k)).add(own.to_numpy())
-            held += len(frame)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            order = pc.sort_indices(table, [(c, "ascending") for c in keys])
+            table = table.take(order)
+            values = table.column(len(keys)).to_numpy()
+            # Where a key differs from the row before, a group begins.
+            names = list(zip(*[table.column(i).to_pylist() for i in range(len(keys))], strict=True)) if keys else [()] * len(values)
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                sketch = found.get(names[a])
+                if sketch is None:
+                    sketch = found[names[a]] = Sketch(k)
+                sketch.add(values[a:b].copy())
+            held += len(names)
             if held >= HELD:
-                yield out()
+                yield _batch([(*key, part, *sketch.row()) for key, sketch in found.items()], arrow)
                 found, held = {}, 0
         if found:
-            yield out()
+            yield _batch([(*key, part, *sketch.row()) for key, sketch in found.items()], arrow)
+
+    return combine(rows.mapInArrow(first, schema), keys, k)
 
-    return combine(rows.mapInPandas(partial, schema), keys, k)
+
+def _stored(df: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in keys], T.StructField("_part", T.IntegerType()), *T.StructType.fromDDL(_FIELDS).fields])
 
 
 def combine(sketches: DataFrame, keys: list[str], k: int = BUFFER) -> DataFrame:
     """Merges sketches of the same keys, for instance of separate days, into one each.
 
     Errors add up as in a single build; all sketches must have been built with the same ``k``.
+    Sketches come to a task in the order of their keys and are merged one by one, so a task
+    holds one group at a time.
     """
-    stored = T.StructType([*[sketches.schema[c] for c in keys], T.StructField("_part", T.IntegerType()), *T.StructType.fromDDL(_FIELDS).fields])
     if "_part" not in sketches.columns:
         sketches = sketches.withColumn("_part", F.spark_partition_id())
-
-    def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        sketch = Sketch(k)
-        for row in frame.sort_values("_part", kind="stable").itertuples(index=False, name="Stored"):
-            sketch.merge(row)
-        head = frame.iloc[0]
-        return pd.DataFrame([(*[head[c] for c in keys], int(head["_part"]) % SALTS, *sketch.row())], columns=stored.names)
+    schema = _stored(sketches, keys)
+    arrow = to_arrow_schema(schema)
+    names = schema.names
+    sketches = sketches.select(*names)
+    count = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def merge(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        at, sketch, salt = None, None, 0
+        for batch in batches:
+            columns = {c: batch.column(i) for i, c in enumerate(names)}
+            data, ends = columns["data"].values.to_numpy(), columns["data"].offsets.to_numpy()
+            plain = {c: columns[c].to_pylist() for c in names if c != "data"}
+            for i in range(batch.num_rows):
+                key = (*[plain[c][i] for c in keys], plain["_part"][i] % SALTS)
+                if key[:-1] != (at[:-1] if at else None) or (salted and key != at):
+                    if sketch is not None:
+                        out.append((*at[:-1], salt, *sketch.row()))
+                        if len(out) >= 64:
+                            yield _batch(out, arrow)
+                            out = []
+                    at, sketch, salt = key, Sketch(k), key[-1]
+                row = SimpleNamespace(**{c: plain[c][i] for c in plain}, data=data[ends[i] : ends[i + 1]])
+                sketch.merge(row)
+        if sketch is not None:
+            out.append((*at[:-1], salt, *sketch.row()))
+        if out:
+            yield _batch(out, arrow)
 
     for salted in (True, False):
-        salt = F.pmod("_part", F.lit(SALTS)) if salted else F.lit(0)
-        sketches = sketches.withColumn("_salt", salt).groupBy(*keys, "_salt").applyInPandas(merged, stored)
+        by = [*[F.col(c) for c in keys], *([F.pmod("_part", F.lit(SALTS))] if salted else [])]
+        sketches = sketches.repartition(count, *by).sortWithinPartitions(*by, "_part").mapInArrow(partial(merge, salted=salted), schema)
     return sketches.drop("_part")
 
 

@@ -58,7 +58,7 @@ def test_sketch_bounds(kind):
     sketch = Sketch(64)
     for part in np.array_split(values, 7):
         sketch.add(part)
-    row = type("Row", (), dict(zip("n over under smallest largest turns tail levels".split(), sketch.row(), strict=True)))
+    row = type("Row", (), dict(zip("n over under smallest largest turns sizes data".split(), sketch.row(), strict=True)))
     held, ranks = weighted(row)
     assert sketch.n == len(values) == ranks[-1]
     true = np.searchsorted(np.sort(values), held, side="right")
