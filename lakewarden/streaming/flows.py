@@ -16,9 +16,9 @@ def session_stream(events: DataFrame, key: str, at: str, event_id: str, gap_us:
     delivery that is repeated within that time counts once.  ``at`` is a TIMESTAMP; rows with a
     null key or time are left out.
     """
-    # Intervals that only touch aren't merged, so one microsecond more lets a gap of exactly gap_us pass.
+    # Intervals that only touch are merged, so a gap of exactly gap_us starts no session.
     kept = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late).dropDuplicatesWithinWatermark([event_id])
-    window = F.session_window(F.col(at), f"{gap_us + 1} microseconds")
+    window = F.session_window(F.col(at), f"{gap_us} microseconds")
     found = kept.groupBy(window, F.col(key)).agg(F.count(F.lit(1)).alias("event_count"), F.max(at).alias("_last"))
     return found.select(key, F.unix_micros(F.col("session_window.start")).alias("start_us"), F.unix_micros("_last").alias("end_us"), "event_count")
 
