@@ -67,4 +67,5 @@ def contains_all(value: Column, needles: list[str]) -> Column:
 
 
 def format_p(p: Column | str) -> Column:
-    return F.when(_c(p) < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", _c(p).cast("double")))
+    """Four digits, halves up; "<0.0001" below that."""
+    return F.when(_c(p) < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", _c(p).cast("double") + 1e-9))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakewarden.operators.instants import rewritten, source_zones, with_instant
 from lakewarden.operators.nested import candidates, nodes
 from lakewarden.operators.sessions import actor_events, sessionize
+from lakewarden.plans import problem_sql
 from lakewarden.sources.tables import latest_copy, table
 
 MINUTE_US = 60 * 1_000_000
@@ -51,3 +52,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p3_found": problem_sql.P3, "p5_found": problem_sql.P5, "p6_found": problem_sql.P6}

@@ -549,7 +549,7 @@ _SUMS = ["violation_count", "hard_violation_count", "llm_only_action_count", "hu
 _MEANS = ["precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
 
 
-@query(f"WITH {S.LATEST}, g AS (SELECT model_label, count(*) AS n, count(*) FILTER (violation_count > 0) AS k, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}_total' for c in _SUMS)}, round(sum(cost_usd), 4) AS cost_usd_total, {', '.join(f'round(avg({c}) + sign(avg({c})) * 1e-9, 4) AS {c}_avg' for c in _MEANS)}, count(*) FILTER (coverage_delta < 0) AS coverage_drop_runs FROM latest GROUP BY 1) SELECT * EXCLUDE (n, k), n AS run_count, k AS runs_with_violations, {S.rate('k', 'n')} AS violation_rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM g")
+@query(f"WITH {S.LATEST}, g AS (SELECT model_label, count(*) AS n, count(*) FILTER (violation_count > 0) AS k, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}_total' for c in _SUMS)}, CAST(round(sum(CAST(cost_usd AS DECIMAL(18, 6))), 4) AS DOUBLE) AS cost_usd_total, {', '.join(f'round(avg({c}) + sign(avg({c})) * 1e-9, 4) AS {c}_avg' for c in _MEANS)}, count(*) FILTER (coverage_delta < 0) AS coverage_drop_runs FROM latest GROUP BY 1) SELECT * EXCLUDE (n, k), n AS run_count, k AS runs_with_violations, {S.rate('k', 'n')} AS violation_rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM g")
 def by_model(spark, root):
     return analysis.by_model(analysis.latest_runs(runs(spark, root)))
 
@@ -966,7 +966,7 @@ def digits_id(spark, root):
     return table(spark, root, "incident_meta").select("incident_id", text.digits("incident_id").alias("digits")).distinct()
 
 
-@query(f"WITH {_PAIRS} SELECT model_a, model_b, CASE WHEN p_value < 0.0001 THEN '<0.0001' ELSE printf('%.4f', p_value) END AS p FROM out_")
+@query(f"WITH {_PAIRS} SELECT model_a, model_b, CASE WHEN p_value < 0.0001 THEN '<0.0001' ELSE printf('%.4f', p_value + 1e-9) END AS p FROM out_")
 def format_p_value(spark, root):
     return pairwise_self_join(spark, root).select("model_a", "model_b", text.format_p("p_value").alias("p"))
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lakewarden.plans import reference  # noqa: F401
+from lakewarden.plans import problems, reference  # noqa: F401
 from lakewarden.plans.registry import ORACLE, QUERIES
 
 from .oracle import compare, connect
@@ -18,6 +18,11 @@ def test_query(spark, small, db, name):
     compare(spark, small, db, QUERIES[name], ORACLE[name])
 
 
+@pytest.mark.parametrize("name", sorted(problems.oracle_sql()))
+def test_problem(spark, small, db, name):
+    compare(spark, small, db, problems.queries()[name], problems.oracle_sql()[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
