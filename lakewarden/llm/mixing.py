@@ -18,7 +18,7 @@ import os
 from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
-from math import ceil, floor
+from math import ceil, floor, isqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +30,6 @@ from lakewarden.sources.tables import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Blocks of a schedule at most; the block grows with the mixture.
 BLOCKS = 50_000
-#: Documents of a bucket, about.
-BUCKET_ROWS = 20_000
 #: Mixture sources at most: they and their schedule are held on the driver.
 SOURCES = 10_000
 
@@ -142,13 +140,13 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     count = {s: ceil(q / block) for s, q in quota.items()}
     slots = spark.createDataFrame([(s, j, i) for i, (s, j) in enumerate(schedule(shares, count))], "source string, block bigint, slot bigint")
     rounds = spark.createDataFrame(
-        [(s, q, sizes[s], -(-q // sizes[s]), max(1, totals[s][1] // BUCKET_ROWS)) for s, q in quota.items()],
+        [(s, q, sizes[s], -(-q // sizes[s]), max(1, isqrt(totals[s][1]))) for s, q in quota.items()],
         "source string, quota bigint, all_tokens bigint, rounds bigint, buckets bigint",
     )
     # Both at most SOURCES rows, or BLOCKS + SOURCES for the schedule.
     own = rows.join(F.broadcast(rounds), "source").withColumn("_bucket", F.pmod("_key", "buckets"))
     sums = own.groupBy("source", "_bucket").agg(F.sum("tokens").alias("_sum"))
-    # One row per BUCKET_ROWS documents.
+    # As many buckets as rows in a bucket: both levels stay small.
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inner = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from lakewarden.llm.mixing import mix
 from lakewarden.llm.mojibake import repair
 from lakewarden.llm.quantiles import build, place_of, weighted
 from lakewarden.llm.runs import canonical, collapse_runs
+from lakewarden.plans.problem_sql import EVENTS, instants
 from lakewarden.plans.problems import MINUTE_US, timed_telemetry
 from lakewarden.sources.tables import cut, latest_copy, table
 
@@ -143,5 +144,22 @@ SELECT llm_deployment, week_start, metric_name FROM placed WHERE place = (p * n
 """
 
 
+P4_SQL = f"""WITH {instants(EVENTS)},
+e AS (SELECT source_ip, event_id, instant_us AS t, regexp_replace(regexp_replace(lower(event_type), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '\\p{{N}}+$', '') AS v FROM timed WHERE source_ip IS NOT NULL AND instant_us IS NOT NULL),
+m AS (SELECT *, CASE WHEN v = lag(v) OVER w AND t - lag(t) OVER w <= 900000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY source_ip ORDER BY t, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY source_ip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT source_ip, arg_min(event_id, (t, event_id)) AS first_event_id, arg_max(event_id, (t, event_id)) AS last_event_id, count(*) AS run_length FROM s GROUP BY source_ip, k HAVING count(*) > 1"""
+
+# Every stretch of twelve words of an item, looked up among those of every document.
+P7_SQL = r"""
+WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id AS id, text FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\p{Cf}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM d),
+iw AS (SELECT id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\p{Cf}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM i),
+dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+ig AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)
+SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
