@@ -88,7 +88,7 @@ def by_model(rows: DataFrame) -> DataFrame:
     means = ["precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
     out = rows.groupBy("model_label").agg(
         F.count(F.lit(1)).alias("run_count"), violating.alias("runs_with_violations"),
-        *[F.sum(c).alias(f"{c}_total") for c in sums], F.round(F.sum("cost_usd"), 4).alias("cost_usd_total"),
+        *[F.sum(c).alias(f"{c}_total") for c in sums], F.round(F.sum(F.col("cost_usd").cast("decimal(18,6)")), 4).cast("double").alias("cost_usd_total"),
         *[rounded(F.avg(c), 4).alias(f"{c}_avg") for c in means], F.count_if(F.col("coverage_delta") < 0).alias("coverage_drop_runs"),
     )
     low, high = wilson("runs_with_violations", "run_count")
