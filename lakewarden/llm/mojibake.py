@@ -38,7 +38,6 @@ OPENED, DEPTH = 40, 4
 
 _SPACE = re.compile(r"([ \t\r\n]+)")
 _ESCAPE = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,7}|#x[0-9A-Fa-f]{2,6});|\\u[0-9A-Fa-f]{4}")
-_CASE = re.compile("[a-zß-öø-ÿа-я](?=[À-ÖØ-ÞА-Я])")
 _NO_SIGN = frozenset("\xa0\xad\u202f\u2060\ufeff") | {chr(c) for c in range(0x2000, 0x2010)}
 _DEAD = re.compile("[\x80-\x84\x86-\x9f�]")
 
@@ -110,7 +109,8 @@ class Model:
         for a, b in zip(low, low[1:], strict=False):
             if a > "\x7f" or b > "\x7f":
                 total += pairs.get(a + b, unseen)
-        return total + 8.0 * len(_DEAD.findall(word)) + 4.0 * len(_CASE.findall(word)) + 6.0 * len(_ESCAPE.findall(word))
+        odd_case = sum((a > "\x7f" or b > "\x7f") and a.islower() and b.isupper() for a, b in zip(word, word[1:], strict=False))
+        return total + 8.0 * len(_DEAD.findall(word)) + 4.0 * odd_case + 6.0 * len(_ESCAPE.findall(word))
 
     def plain(self, word: str) -> bool:
         """Whether all pairs are so common that no other single-byte reading could be more plausible."""
