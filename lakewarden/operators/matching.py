@@ -97,3 +97,18 @@ def first_match(text: str, rules: list[TextRule]) -> Column:
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key; the engine keeps only the best rows of a group while it sorts."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def actions_from_texts(found: DataFrame, key: str, order: list[str], default: str) -> DataFrame:
+    """key, action_id, place: the actions that a key's texts map to, each once, in the order of their first text.
+
+    ``found`` comes from ranked_rules(); a key none of whose texts maps to an action gets
+    ``default`` alone.  Texts with a null key are left out.  Each action of a key is one row before
+    they are ordered, so a key with many texts is no burden.
+    """
+    own = found.where(F.col(key).isNotNull())
+    first = own.groupBy(key, "action_id").agg(F.min(F.struct(*order)).alias("_at"))
+    any_found = Window.partitionBy(key)
+    named = first.withColumn("_n", F.count("action_id").over(any_found)).where(F.col("action_id").isNotNull() | (F.col("_n") == 0))
+    named = named.withColumn("action_id", F.coalesce("action_id", F.lit(default)))
+    return named.select(key, "action_id", F.row_number().over(Window.partitionBy(key).orderBy("_at", "action_id")).alias("place"))

@@ -101,8 +101,8 @@ def coalesce_placeholder(spark, root):
     return table(spark, root, "telemetry").select("event_id", first_present("username", "source_ip", "dest_ip").alias("who")).distinct()
 
 
-@query("SELECT DISTINCT event_id, trim(trim(details.command, '\"'), '''') AS command FROM telemetry")
-def strip_quotes_(spark, root):
+@query("SELECT DISTINCT event_id, trim(trim(details.command, '\"'), '''') AS command FROM telemetry", name="strip_quotes")
+def stripped_commands(spark, root):
     return table(spark, root, "telemetry").select("event_id", strip_quotes("details.command").alias("command")).distinct()
 
 
@@ -1037,3 +1037,77 @@ def parse_response_json(spark, root):
     parsed = F.try_parse_json(raw)
     verdict = F.when(parsed.isNull(), "broken").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no_object").when(F.json_object_keys(raw).isNull() | ~F.array_contains(F.json_object_keys(raw), "agent"), "no_agent").otherwise("ok")
     return table(spark, root, "telemetry").where(raw.isNotNull()).select("event_id", verdict.alias("verdict")).distinct()
+
+
+# --- Further forms of the above ----------------------------------------------------------------
+
+
+@query(f"WITH {S.ROWS} SELECT run_id, model_label FROM rows_")
+def model_label(spark, root):
+    return runs(spark, root).select("run_id", "model_label")
+
+
+@query(f"WITH {S.EVENTS}, x AS (SELECT ev.event_id, lower(coalesce(t.details.command, '') || ' ' || coalesce(t.details.raw, '') || ' ' || coalesce(t.details.source_summary, '')) AS d FROM ev JOIN telemetry t ON t.event_id = ev.event_id AND t.line_no = ev.line_no AND t.incident_id = ev.incident_id) SELECT event_id FROM x WHERE contains(d, 'keymole') OR contains(d, 'netpeek')")
+def details_text_contains(spark, root):
+    """Events any of whose details holds one of the needles."""
+    return events(spark, root).where(text.contains_any(F.col("details_text"), ["keymole", "netpeek"])).select("event_id")
+
+
+@query(f"WITH {_CAND} SELECT technique_id, round(score, 3) AS score, count(*) AS n FROM cand GROUP BY 1, 2")
+def attack_score(spark, root):
+    return found_techniques(spark, root).groupBy("technique_id", F.round("score", 3).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_CAND} SELECT event_id, rule_id, array_to_string(signals, ', ') || ' | ' || coalesce(nullif(substr(command, 1, 120), ''), event_type) AS evidence FROM cand")
+def attack_evidence(spark, root):
+    return found_techniques(spark, root).select("event_id", "rule_id", matching.evidence().alias("evidence"))
+
+
+def _of_pairs(name: str, *columns: str):
+    def run(spark, root):
+        return pairwise_self_join(spark, root).select("model_a", "model_b", *columns)
+
+    query(f"WITH {_PAIRS} SELECT model_a, model_b, {', '.join(columns)} FROM out_", name=name)(run)
+
+
+for _n, _cols in (("two_prop_z", ("z_score", "p_value")), ("mcnemar", ("only_a", "only_b", "mcnemar_chi2", "mcnemar_p")), ("holm_adjust", ("p_value", "p_value_holm")), ("cohens_h", ("cohens_h",)), ("cliffs_delta_paired", ("cliffs_delta",))):
+    _of_pairs(_n, *_cols)
+
+
+@query(f"WITH {_RANKED} SELECT d2.source, verdict, count(*) AS n FROM v JOIN documents d2 USING (doc_id) GROUP BY 1, 2")
+def mapping_support_by_type(spark, root):
+    return classified(spark, root).groupBy("source", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_RANKED}, f AS (SELECT d2.incident_id, CASE WHEN verdict IN ('single', 'multi') THEN best END AS a, min(d2.doc_id) AS m FROM v JOIN documents d2 USING (doc_id) WHERE d2.incident_id IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, count(a) OVER (PARTITION BY incident_id) AS n FROM f)
+SELECT incident_id, coalesce(a, 'snapshot_memory') AS action_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY m, a) AS INTEGER) AS place FROM g WHERE a IS NOT NULL OR n = 0""")
+def human_actions_from_tasks(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "incident_id", text.match_form("text").alias("t"))
+    return matching.actions_from_texts(matching.ranked_rules(d, "t", TEXT_RULES), "incident_id", ["doc_id"], "snapshot_memory")
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') AS redacted, CASE WHEN regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') THEN '[note withheld]' ELSE left(text, 80) END AS note FROM documents WHERE text IS NOT NULL")
+def redact_contact_notes(spark, root):
+    """Notes that name a person are withheld."""
+    hit = F.lower("text").rlike("user_[0-9]+|analyst_[0-9]+")
+    return table(spark, root, "documents").where("text is not null").select("doc_id", hit.alias("redacted"), F.when(hit, "[note withheld]").otherwise(F.substring("text", 1, 80)).alias("note"))
+
+
+@query(rf"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\x{{0B}}\x{{A0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS bare FROM documents WHERE text IS NOT NULL")
+def strip_html(spark, root):
+    return table(spark, root, "documents").where("text is not null").select("doc_id", F.sha2(text.without_tags("text"), 256).alias("bare"))
+
+
+@query(_enforce_sql(RULES, "true"))
+def replay_defer(spark, root):
+    """Saved plans enforced once more, all in the deferring mode."""
+    return told(enforced(spark, root, RULES, True))
+
+
+@query("SELECT * FROM (VALUES ('preserve_proxy_logs,snapshot_memory,reimage_endpoint', 2::BIGINT, 'reimage_endpoint'), ('preserve_proxy_logs,snapshot_memory', 1, 'snapshot_memory'), ('revoke_sessions,rejoin_network', 1, 'rejoin_network')) t(enforced, repairs, action)")
+def order_chain_probe(spark, root):
+    """A plan of nothing but a rule's action, for every order rule: how many repairs it sets off."""
+    probes = spark.createDataFrame([(r.action, [r.action]) for r in _ORDER], "action string, plan array<string>")
+    made = enforce.enforce(probes.withColumns({"matched": F.array().cast("array<string>"), "approved": F.array().cast("array<string>")}), _ORDER, catalog(spark, root))
+    return made.select("action", joined("enforced").alias("enforced"), F.size("found").cast("bigint").alias("repairs"))

@@ -12,13 +12,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function of (spark, folder) under its own name."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, folder) under its own name, or another."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            ORACLE[name or f.__name__] = sql
         return f
 
     return add
