@@ -11,6 +11,7 @@ from lakewarden.functions.present import strip
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
 
+# What counts as a mail address, an IPv4 address and a technique id.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 TECHNIQUE = r"\b[Tt][0-9]{4}(?:\.[0-9]{3})?\b"

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.functions.numbers import slot
 from lakewarden.functions.present import present
 
 
@@ -20,7 +21,7 @@ def slots(events: DataFrame, key: str, at_us: str, gap_us: int) -> DataFrame:
     """The merged interval of each key and time slot: key, start_us, end_us, event_count."""
     return (
         events.where(F.col(key).isNotNull() & F.col(at_us).isNotNull())
-        .groupBy(F.col(key).alias(key), F.floor(F.col(at_us) / F.lit(gap_us)).cast("bigint").alias("_slot"))
+        .groupBy(F.col(key).alias(key), slot(at_us, gap_us).alias("_slot"))
         .agg(F.min(at_us).alias("start_us"), F.max(at_us).alias("end_us"), F.count(F.lit(1)).alias("event_count"))
     )
 
