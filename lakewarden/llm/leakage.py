@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, item_id bigint, words int, doc_word int, item_word int"
 
 _WORD = re.compile(r"[^\W_]+")
-_HIDDEN = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"} | {c: None for c in [*range(0xFE00, 0xFE10), 0x034F]}
+_HIDDEN = regex.compile("[\\p{Cf}\ufe00-\ufe0f\u034f]")
 
 
 def words(text: str | None) -> list[str]:
@@ -34,7 +35,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_HIDDEN))
+        text = unicodedata.normalize("NFC", _HIDDEN.sub("", text))
     return _WORD.findall(text.lower())
 
 

@@ -14,8 +14,9 @@ with any share of the rows is never in one task.
 
 from __future__ import annotations
 
+import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from math import ceil, floor, isqrt
@@ -24,31 +25,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.functions.numbers import slot
 from lakewarden.functions.present import strip
 from lakewarden.sources.tables import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that splits text before the merges of the public byte-level rank files.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks of a schedule at most; the block grows with the mixture.
 BLOCKS = 50_000
 #: Mixture sources at most: they and their schedule are held on the driver.
 SOURCES = 10_000
 
 
+def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
+    """A function that counts the tokens of texts: rank files (.tiktoken), tokenizer files (.json), piece models (.model)."""
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(ranked.encode_ordinary(t)) for t in texts]
+    if tokenizer.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, out: str = "tokens") -> DataFrame:
     """Adds BIGINT ``out``: the tokens of ``text`` by a public tokenizer's file (0 for null and empty texts)."""
 
     @F.pandas_udf("bigint")
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        count = counter(tokenizer)
         for part in parts:
             sizes: list[int] = []
             for at in range(0, len(part), 256):
-                own = part.iloc[at : at + 256].fillna("").tolist()
-                sizes += [len(e.ids) for e in model.encode_batch_fast(own, add_special_tokens=False)]
+                sizes += count(part.iloc[at : at + 256].fillna("").tolist())
             yield pd.Series(sizes, index=part.index, dtype="int64")
 
     return documents.withColumn(out, tokens(F.col(text)))
@@ -154,7 +175,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     placed = placed.withColumn("_at", F.col("_start") + F.col("_before"))
     used = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rounds") - 1)).alias("repeat"))
     used = used.withColumn("place", F.col("_at") + F.col("repeat") * F.col("all_tokens")).where(F.col("place") < F.col("quota"))
-    used = used.withColumn("block", F.floor(F.col("place") / F.lit(block)).cast("bigint")).join(F.broadcast(slots), ["source", "block"])
+    used = used.withColumn("block", slot(F.col("place"), block)).join(F.broadcast(slots), ["source", "block"])
     used = used.select("doc_id", "source", F.col("repeat").cast("int").alias("repeat"), "tokens", "slot", "place")
 
     fair = spark.createDataFrame(

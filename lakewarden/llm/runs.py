@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.functions.numbers import slot
+
 HOUR_US = 3_600_000_000
 
 
@@ -38,7 +40,7 @@ def collapse_runs(events: DataFrame, entity: str, at_us: str, order_id: str, val
     keep = F.col(entity).isNotNull() & F.col(at_us).isNotNull()
     rows = (
         events.where(keep)
-        .select(F.col(entity).alias("_e"), F.floor(F.col(at_us) / F.lit(block_us)).cast("bigint").alias("_b"), F.col(at_us).alias("_t"), F.col(order_id).alias("_i"), F.col(value).alias("_v"))
+        .select(F.col(entity).alias("_e"), slot(at_us, block_us).alias("_b"), F.col(at_us).alias("_t"), F.col(order_id).alias("_i"), F.col(value).alias("_v"))
         .repartition("_e", "_b")
         .distinct()
     )

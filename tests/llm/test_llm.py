@@ -14,7 +14,7 @@ from tests.test_problems import timed
 from lakewarden.llm import queries
 from lakewarden.llm.cooccurrence import baskets, pairs
 from lakewarden.llm.leakage import leaks, suffix_array, without_leaks, words
-from lakewarden.llm.mixing import count_tokens, mix, plan, schedule
+from lakewarden.llm.mixing import TOKENIZER, count_tokens, counter, mix, plan, schedule
 from lakewarden.llm.mojibake import Model, from_utf8, judge, repair, train, unescape
 from lakewarden.llm.quantiles import Sketch, build, combine, percentiles, place_of, weighted
 from lakewarden.llm.runs import canonical, collapse_runs
@@ -243,6 +243,9 @@ def test_mix_edges(spark):
     assert mix(docs, targets.limit(0)).rows.count() == 0
     counted = count_tokens(spark.createDataFrame([("a b",), ("",), (None,), ("<|endoftext|>",)], "text string")).collect()
     assert [r.tokens for r in counted][:3] == [2, 0, 0] and counted[3].tokens > 1
+    sample = ["Ação às 10:20, host_1!", "", "x" * 50_000, "<|endoftext|> a"]
+    assert counter(TOKENIZER)(sample) == counter("/opt/tokenizers/byte_bpe_50k.json")(sample)
+    assert counter("/opt/tokenizers/piece_bpe_32k.model")(["a b", ""])[1] == 0
 
 
 # Wrong encodings
