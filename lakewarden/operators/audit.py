@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.functions.text import EMAIL, IPV4
@@ -64,12 +64,27 @@ def personal_data(df: DataFrame, key: str, text: str, masked_email: str = r"^use
 
 def first_seen_tokens(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, value, token: a number per key for every distinct value, in the order in which they first appear."""
-    from pyspark.sql import Window
-
     first = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_first"))
     return first.select(key, value, F.row_number().over(Window.partitionBy(key).orderBy("_first", value)).alias("token"))
 
 
+def mask_numbered(df: DataFrame, row: str, key: str, order: str, text: str, pattern: str, prefix: str, out: str) -> DataFrame:
+    """Adds ``out``: ``text`` with every match of ``pattern`` replaced by prefix and the number that its value has within ``key``.
+
+    Values are numbered per key in the order in which they first appear (by ``order``, then place in
+    the text).  ``row`` identifies a row.  Matches are numbered and put back by joins on (key, value)
+    and row, so no key's texts come to one task; only its distinct values are ordered together.
+    """
+    hits = df.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(order).alias("_order"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("_pos", "_value"))
+    numbers = first_seen_tokens(hits.select("_key", F.struct("_order", "_pos").alias("_at"), "_value"), "_key", "_at", "_value").select(F.col("_key").alias("_k"), F.col("_value").alias("_v"), F.col("token").alias("_token"))
+    named = hits.join(numbers, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_value") == F.col("_v"))).select("_row", "_pos", F.concat(F.lit(prefix), "_token").alias("_name"))
+    per_row = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_names"))
+    both = df.join(per_row, F.col(row) == F.col("_row"), "left")
+    names = F.coalesce("_names", F.expr("cast(array() as array<struct<_pos:int,_name:string>>)"))
+    pieces = F.zip_with(F.split(F.col(text), pattern, -1), names, lambda p, n: F.concat(p, F.coalesce(n["_name"], F.lit(""))))
+    return both.select(*df.columns, F.array_join(pieces, "").alias(out))
+
+
 def action_stats(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action_id").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("incident_id").alias("incidents"), F.count_if("approval").alias("approved"))
 

@@ -52,12 +52,12 @@ def union_sources_tagged(spark, root):
     return records.union_sources(frames).groupBy("source_type", "incident_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PREFIX = " ".join(f"WHEN starts_with(lower(log_source), '{p}') THEN '{k}'" for p, k in normalize.SOURCE_PREFIXES)
+_PREFIX = " ".join(f"WHEN starts_with(lower('dataset-' || log_source), '{p}') THEN '{k}'" for p, k in normalize.SOURCE_PREFIXES)
 
 
-@query(f"SELECT log_source, CASE {_PREFIX} ELSE upper(log_source) END AS kind FROM log_sources")
+@query(f"SELECT log_source, CASE {_PREFIX} ELSE upper('dataset-' || log_source) END AS kind FROM log_sources")
 def source_type_prefix_lookup(spark, root):
-    return table(spark, root, "log_sources").select("log_source", normalize.source_type("log_source").alias("kind"))
+    return table(spark, root, "log_sources").select("log_source", normalize.source_type(F.concat(F.lit("dataset-"), "log_source")).alias("kind"))
 
 
 @query("SELECT DISTINCT incident_id FROM telemetry WHERE incident_id IS NOT NULL")
@@ -1011,10 +1011,15 @@ def incident_from_path(spark, root):
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.nullif(F.regexp_extract("text", "INC_[A-Z]+_[0-9]+", 0), F.lit("")).alias("incident"))
 
 
-@query(rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{text.EMAIL}', '<email>', 'g'), '{text.IPV4}', '<ip>', 'g')) AS masked FROM documents WHERE text IS NOT NULL")
+@query(rf"""WITH h AS (SELECT doc_id, incident_id, unnest(regexp_extract_all(text, '{text.IPV4}')) AS v, unnest(range(0, len(regexp_extract_all(text, '{text.IPV4}')))) AS p FROM documents),
+n AS (SELECT incident_id, v, row_number() OVER (PARTITION BY incident_id ORDER BY m, v) AS k FROM (SELECT incident_id, v, min((doc_id, p)) AS m FROM h GROUP BY 1, 2)),
+t AS (SELECT doc_id, list('ip_' || k ORDER BY p) AS names FROM h JOIN n ON n.v = h.v AND n.incident_id IS NOT DISTINCT FROM h.incident_id GROUP BY 1),
+c AS (SELECT doc_id, string_split_regex(text, '{text.IPV4}') AS parts, coalesce(names, []) AS names FROM documents LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL)
+SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(names[i], '')), '')) AS masked FROM c""")
 def mask_pii_tokens(spark, root):
-    masked = F.regexp_replace(F.regexp_replace("text", text.EMAIL, "<email>"), text.IPV4, "<ip>")
-    return table(spark, root, "documents").where("text is not null").select("doc_id", F.sha2(masked, 256).alias("masked"))
+    """Addresses as numbers that count from 1 in every incident."""
+    d = table(spark, root, "documents").where("text is not null").select("doc_id", "incident_id", "text")
+    return audit.mask_numbered(d, "doc_id", "incident_id", "doc_id", "text", text.IPV4, "ip_", "m").select("doc_id", F.sha2("m", 256).alias("masked"))
 
 
 @query("SELECT action_id, CASE WHEN starts_with(action_id, 'reset') OR starts_with(action_id, 'rotate') THEN 'credentials' WHEN starts_with(action_id, 'block') THEN 'network' ELSE 'review_' || substr(sha256(action_id), 1, 8) END AS kind FROM action_catalog")
@@ -1111,3 +1116,21 @@ def order_chain_probe(spark, root):
     probes = spark.createDataFrame([(r.action, [r.action]) for r in _ORDER], "action string, plan array<string>")
     made = enforce.enforce(probes.withColumns({"matched": F.array().cast("array<string>"), "approved": F.array().cast("array<string>")}), _ORDER, catalog(spark, root))
     return made.select("action", joined("enforced").alias("enforced"), F.size("found").cast("bigint").alias("repairs"))
+
+
+def _vendor(key: str) -> str:
+    path = f"$.\"{key}\""
+    value = S.present(f"(r->>'{path}')")
+    return f"trim(trim({value}, '\"'), '''')" if key in normalize.QUOTED_NAMES else value
+
+
+_VENDOR = {n: f"coalesce({', '.join(_vendor(k) for k in keys)}, {chr(39) + 'unknown' + chr(39) if n in normalize.UNKNOWN else 'NULL'})" for n, keys in normalize.VENDOR_NAMES.items()}
+_LEVEL = "coalesce(" + ", ".join(f"nullif({_vendor(k)}, '')" for k in normalize.SEVERITY_NAMES) + ")"
+
+
+@query(f"WITH x AS (SELECT DISTINCT event_id, CASE WHEN json_valid(details.raw) THEN CAST(details.raw AS JSON) END AS r FROM telemetry WHERE contains(details.raw, '(custom)')) SELECT event_id, {', '.join(f'{v} AS {n}' for n, v in _VENDOR.items())}, {_LEVEL} AS severity, 'SIEM' AS source_type FROM x WHERE r IS NOT NULL")
+def normalize_vendor_event(spark, root):
+    """Events from the exporters' flat records in details.raw."""
+    raw = table(spark, root, "telemetry").select("event_id", F.col("details.raw").alias("raw")).where(F.contains("raw", F.lit("(custom)"))).distinct()
+    flat = raw.where(F.try_parse_json("raw").isNotNull()).select("event_id", F.from_json("raw", "map<string,string>").alias("r"))
+    return normalize.vendor_events(flat, "r", "SIEM").drop("r")

@@ -127,7 +127,7 @@ def test_texts(spark):
         (text.slug(F.lit("A--b ç")), "a_b"), (text.slug(F.lit("--")), "unknown"), (text.slug(F.lit(None).cast("string")), "unknown"), (text.tag_part(F.lit("é x/")), "é_x"),
         (text.digits(F.lit("a1b2")), "12"), (text.digits(F.lit("")), "000000"), (text.match_form(F.lit("<b>Ação</b>  Größe\n")), "acao große"), (strip_quotes(F.lit("\"'x'\"")), "x"),
         (text.format_p(F.lit(0.00001)), "<0.0001"), (text.format_p(F.lit(0.5)), "0.5000"), (normalize.relative_path(F.lit("/x/data/y"), "data"), "data/y"), (normalize.relative_path(F.lit("/x"), "data"), "/x"),
-        (normalize.source_type(F.lit("ips_x")), "IPS"), (normalize.source_type(F.lit("other")), "OTHER"), (F.array_join(normalize.csv_items(F.lit(" a, b,,a ")), "|"), "a|b"),
+        (normalize.source_type(F.lit("Dataset-IPS_x")), "IPS"), (normalize.source_type(F.lit("other")), "OTHER"), (F.array_join(normalize.csv_items(F.lit(" a, b,,a ")), "|"), "a|b"),
     ]
     for column, want in values:
         assert one(spark, column) == want
@@ -192,6 +192,31 @@ def test_audits(spark):
     assert got == {"i": ["approval_missing", "window_reversed"], "j": ["no_events", "no_actions", "bad_severity", "no_window"]}
 
 
+def test_masks(spark):
+    rows = [(1, "i", "8.8.8.8 and 1.1.1.1, 8.8.8.81"), (2, "i", "1.1.1.1"), (3, "j", "1.1.1.1 9.9.9.9"), (4, None, "9.9.9.9"), (5, "i", None), (6, "i", "none"), (7, "i", "")]
+    df = spark.createDataFrame(rows, "d int, k string, t string").withColumn("token", F.lit("clash"))
+    got = {r.d: r.m for r in audit.mask_numbered(df, "d", "k", "d", "t", text.IPV4, "ip_", "m").collect()}
+    assert got == {1: "ip_1 and ip_2, ip_3", 2: "ip_2", 3: "ip_1 ip_2", 4: "ip_1", 5: None, 6: "none", 7: ""}
+
+
+def test_exports(spark):
+    props = "struct<cs_severity:string,cs_hostname:string,cs_username:string,cs_command_line:string,cs_source_ip:string,status_do_incidente:string>"
+    schema = f"incident_id string, incident_type_ids array<string>, severity_code string, resolution_id string, start_date bigint, inc_start bigint, end_date bigint, inc_last_modified_date bigint, discovered_date bigint, name string, description string, properties {props}, extracted_notes array<struct<id:int,text:string,create_date:bigint,user_name:string>>"
+    rows = [
+        ("a", ["Big Thing"], "HIGH", None, None, 1000, None, None, 5, "n", "", ("low", "h", "u", "", "", "Done!"), [(1, "<p> x </p>", 7, "w"), (2, "<br>", 8, "w"), (3, None, 9, None)]),
+        ("b", None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    a, b = normalize.export_meta(df).orderBy("incident_id").collect()
+    assert (a.incident_type, a.severity, a.time_window_start, a.time_window_end, a.final_status) == ("big_thing", "high", "1970-01-01T00:00:01.000Z", "1970-01-01T00:00:01.000Z", "done")
+    assert (b.incident_type, b.severity, b.time_window_start, b.final_status) == ("suspicious_activity", "medium", None, "unknown")
+    events = [(r.incident_id, r.line_no, r.event_type, r.category, r.command) for r in normalize.export_events(df).orderBy("incident_id", "line_no").collect()]
+    assert events == [("a", 1, "command_execution_attempt", "n", None), ("a", 2, "case_note", "soar_note", "x"), ("b", 1, "command_execution_attempt", "detection", None)]
+    flat = spark.createDataFrame([({"Event Name": " N/A ", "FortinetSeverity (custom)": '"high"', "Username": "null", "Account Name (custom)": "me"},), (None,)], "r map<string,string>")
+    got = [(r.event_type, r.severity, r.username, r.source_type) for r in normalize.vendor_events(flat, "r", "X").collect()]
+    assert got == [("unknown", "high", "me", "X"), ("unknown", None, None, "X")]
+
+
 def test_stability(spark):
     slots = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, s int")
     spare = spark.createDataFrame([("a", 9), ("c", 4)], "k string, r int")
