@@ -11,7 +11,7 @@ from lakewarden.operators.instants import rewritten, source_zones, with_instant
 from lakewarden.operators.nested import candidates, nodes
 from lakewarden.operators.sessions import actor_events, sessionize
 from lakewarden.plans import problem_sql
-from lakewarden.sources.tables import latest_copy, table
+from lakewarden.sources.tables import table
 
 MINUTE_US = 60 * 1_000_000
 
@@ -29,11 +29,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Copies of a record are alike in what is read here, so distinct rows are distinct records."""
     events = table(spark, root, "telemetry").select("event_id", "details.raw", "details.source_summary")
     holds = F.col("raw").rlike(candidates()) | F.col("source_summary").rlike(candidates())
-    events = nodes(latest_copy(events.where(holds), "event_id"), "event_id", ["raw", "source_summary"])
+    events = nodes(events.where(holds).distinct(), "event_id", ["raw", "source_summary"])
     runs = table(spark, root, "verifier_output").where(F.size("violations") > 0).select("run_id", F.to_json("violations").alias("violations"))
-    runs = nodes(latest_copy(runs, "run_id"), "run_id", ["violations"])
+    runs = nodes(runs.distinct(), "run_id", ["violations"])
     columns = ("owner_id", "node_path", "parent_path")
     return (
         events.select(F.lit("telemetry").alias("owner_table"), *columns)
