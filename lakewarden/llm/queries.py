@@ -16,14 +16,15 @@ from lakewarden.llm.quantiles import build, place_of, weighted
 from lakewarden.llm.runs import canonical, collapse_runs
 from lakewarden.plans.problem_sql import EVENTS, instants
 from lakewarden.plans.problems import MINUTE_US, timed_telemetry
-from lakewarden.sources.tables import cut, latest_copy, table
+from lakewarden.sources.tables import cut, table
 
 PLAN_FIELDS = ["llm_actions", "human_actions", "enforced_actions"]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Copies of a run are alike in what is read here, so distinct rows are distinct runs."""
     runs = table(spark, root, "verifier_output").select("run_id", *PLAN_FIELDS).where(F.col("run_id").isNotNull())
-    found = pairs(latest_copy(runs, "run_id"), PLAN_FIELDS, min_count=3, min_share=(1, 1000), min_lift=2.0)
+    found = pairs(runs.distinct(), PLAN_FIELDS, min_count=3, min_share=(1, 1000), min_lift=2.0)
     return found.select("field_name", "action_a", "action_b")
 
 
