@@ -13,7 +13,7 @@ All of it runs as column expressions, so it stays in the JVM and inside code gen
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,14 +68,10 @@ def source_zones(sources: DataFrame, key: str = "log_source", zone: str = "tz_na
     (their values count as without a source).
     """
     spark = sources.sparkSession
-    names = sources.select(zone).where(F.col(zone).isNotNull()).distinct()
-    rows = bounded_rows(names, 5000)
-    known = []
-    for (name,) in rows or []:
-        try:
-            known.append((name, abbreviations(name)))
-        except (KeyError, ValueError, OSError):
-            continue
+    all_zones = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "_tz string")
+    # At most as many rows as there are zones.
+    named = all_zones.join(sources.select(F.col(zone).alias("_tz")).distinct(), "_tz", "left_semi").collect()
+    known = [(r[0], abbreviations(r[0])) for r in named]
     zones = spark.createDataFrame(known, "_tz string, _abbr map<string,string>")
     lookup = (
         sources.where(F.col(key).isNotNull())
