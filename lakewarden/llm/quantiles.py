@@ -125,7 +125,8 @@ def build(df: DataFrame, keys: list[str], value: str, k: int = BUFFER) -> DataFr
     """One sketch per group of ``keys``: the keys, n, over, under, smallest, largest, turns, sizes, data.
 
     Null and NaN values are left out; groups without values give no row.  Null keys are a group
-    of their own.  Ties and repeated rows all count.
+    of their own.  Ties and repeated rows all count.  A key named like a column of the sketch is
+    refused; other columns may have any name.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     schema = _stored(rows, keys)
@@ -159,6 +160,9 @@ def build(df: DataFrame, keys: list[str], value: str, k: int = BUFFER) -> DataFr
 
 
 def _stored(df: DataFrame, keys: list[str]) -> T.StructType:
+    taken = {"_part", "_value", *T.StructType.fromDDL(_FIELDS).names} & set(keys)
+    if taken:
+        raise ValueError(f"keys with the names of a sketch's own columns: {sorted(taken)}")
     return T.StructType([*[df.schema[c] for c in keys], T.StructField("_part", T.IntegerType()), *T.StructType.fromDDL(_FIELDS).fields])
 
 

@@ -85,6 +85,8 @@ def test_percentiles_of_groups_and_days(spark):
             assert r.n == len(own) and r.at_most >= exact and (r.above is None or r.above < exact)
             assert abs(np.searchsorted(own, r.estimate) - r.place) <= r.rank_error * len(own) + 1 + own.count(r.estimate)
     assert build(df.limit(0), ["g"], "v").count() == 0
+    with pytest.raises(ValueError, match="own columns"):
+        build(df.withColumnRenamed("g", "data"), ["data"], "v")
     assert place_of(95, 100) == 95 and place_of(50, 3) == 2 and place_of(50, 1) == 1
 
 
