@@ -5,7 +5,7 @@ takes away) are states of a graph; its edges undo one wrong decoding (encode wit
 encoding, decode with another) or one escape.  A best-first search with visited states
 looks for the cheapest reachable word; the cost of a state is how implausible its pairs of
 neighbouring characters are in this corpus, plus the price of the steps that led there.
-Pair counts come from all documents.  A word is garbled when another is reachable that is
+Pair counts come from all documents, copies counted once.  A word is garbled when another is reachable that is
 cheaper by a margin, or when it holds characters that only failed decoding leaves behind.
 """
 
@@ -29,6 +29,8 @@ TRULY = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2"
 
 #: Pairs of characters that the model keeps, most frequent first; the rest count as unseen.
 MODEL_PAIRS = 50_000
+#: A corpus with fewer pairs is scaled up to so many, else a single unseen pair would cost hardly more than a seen one.
+FEWEST_PAIRS = 10_000
 #: Price of a step, in nats: undoing a reading of UTF-8 is rarely possible by chance, another single-byte reading nearly always.
 STEP = {"utf-8": 2.0, "escape": 1.0, "single": 6.0}
 #: A reachable word must be cheaper by this to make the word garbled.
@@ -98,10 +100,10 @@ class Model:
     their share, and a price for lost controls, odd letter case and escapes."""
 
     def __init__(self, counts: dict[str, int], total: int):
-        total = max(total, 1) + 1
-        self.pairs = {k: -log((n + 0.5) / total) for k, n in counts.items()}
+        scale = max(1.0, FEWEST_PAIRS / max(total, 1))
+        total = max(total, 1) * scale + 1
+        self.pairs = {k: -log((n * scale + 0.5) / total) for k, n in counts.items()}
         self.unseen = -log(0.5 / total) + 1.0
-        self.common = {k for k, n in counts.items() if n * 2000 >= total}
 
     def cost(self, word: str) -> float:
         low = f"^{word.lower()}$"
@@ -112,11 +114,6 @@ class Model:
         odd_case = sum((a > "\x7f" or b > "\x7f") and a.islower() and b.isupper() for a, b in zip(word, word[1:], strict=False))
         return total + 8.0 * len(_DEAD.findall(word)) + 4.0 * odd_case + 6.0 * len(_ESCAPE.findall(word))
 
-    def plain(self, word: str) -> bool:
-        """Whether all pairs are so common that no other single-byte reading could be more plausible."""
-        low = f"^{word.lower()}$"
-        return all(a + b in self.common for a, b in zip(low, low[1:], strict=False) if a > "\x7f" or b > "\x7f")
-
 
 def _sign_before_letter(word: str) -> bool:
     return any(a > "\x7f" and not a.isalpha() and a not in _NO_SIGN and b.isalpha() for a, b in zip(word, word[1:], strict=False))
@@ -173,8 +170,6 @@ def search(word: str, model: Model) -> tuple[str, bool]:
 
 def judge(word: str, model: Model) -> tuple[bool, str]:
     """Whether ``word`` is garbled, and what it should be (itself where that can't be told)."""
-    if model.plain(word) and not _ESCAPE.search(word) and all(from_utf8(word, name) is None for name in READ_AS):
-        return False, word
     best, undone = search(word, model)
     return undone or bool(_DEAD.search(word)), best
 
@@ -182,11 +177,13 @@ def judge(word: str, model: Model) -> tuple[bool, str]:
 def pair_counts(documents: DataFrame) -> DataFrame:
     """pair, n: how often two characters, one of them outside of ASCII, stand together in all documents.
 
-    Lower case; ^ and $ stand for the ends of a word.  Equal words are counted before they are
-    taken apart.
+    Lower case; ^ and $ stand for the ends of a word.  Documents with the same words outside of
+    ASCII in the same order count once, so copies of a garbled text don't become the norm.
+    Equal words are counted before they are taken apart.
     """
     split = F.split("text", r"[ \t\r\n]+")
-    words = documents.select(F.explode(F.filter(split, lambda w: w.rlike(r"[^\x00-\x7F]"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    texts = documents.select(F.filter(split, lambda w: w.rlike(r"[^\x00-\x7F]")).alias("words")).where(F.size("words") > 0).distinct()
+    words = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     padded = words.select("n", F.concat(F.lit("^"), F.lower("word"), F.lit("$")).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))
     return padded.select("n", F.explode(pairs).alias("pair")).where(F.col("pair").rlike(r"[^\x00-\x7F]")).groupBy("pair").agg(F.sum("n").alias("n"))

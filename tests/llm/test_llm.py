@@ -315,3 +315,17 @@ def test_repair(spark, model):
     assert not got[6].complete and got[6].restored == "lost n�o" and got[8].words == 20_000
     assert repair(df.limit(0)).count() == 0 and repair(df.where("doc_id = 5")).count() == 0
     assert Model({}, 0).cost("é") > 0
+
+
+@pytest.mark.parametrize(("lang", "true", "read"), [("ru", "cp1251", "latin-1"), ("ru", "koi8-r", "cp1251"), ("pl", "cp1250", "cp1252"), ("pt", "utf-8", "cp1252")])
+def test_copies_of_garbled_text_are_found(spark, lang, true, read):
+    bad = wrong(CLEAN[lang].encode(true, "ignore").decode(true), true, read)
+    whole = [f"{a} {b}" for a in CLEAN.values() for b in CLEAN.values()]
+    rows = [(i, t) for i, t in enumerate(whole)] + [(1000 + i, f"{i} {bad}") for i in range(len(whole) // 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id for r in repair(df).collect()}
+    assert found == {1000 + i for i in range(len(whole) // 2)}
+
+
+def test_frequent_lost_controls_are_garbled():
+    assert judge("n\x81o", Model({"n\x81": 900, "\x81o": 900}, 1800))[0]
