@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lakewarden.functions import stats, text
 from lakewarden.functions.present import first_present, present, strip_quotes
 from lakewarden.operators import analysis, audit, enforce, matching, normalize, stability
+from lakewarden.operators.instants import source_zones, with_instant
+from lakewarden.plans import problem_sql
 from lakewarden.plans import sql as S
 from lakewarden.plans.fixtures import PRIORITY_WORDS, RULES, STOP, TECHNIQUES, TERMS, TEXT_RULES
 from lakewarden.plans.registry import query
@@ -237,13 +239,34 @@ SELECT incident_id, coalesce(events, 0) AS events, coalesce(actions, 0) AS actio
   CASE WHEN coalesce(na, 0) > 0 THEN 'approval_missing' END, CASE WHEN NOT coalesce(severity IN ('low', 'medium', 'high', 'critical'), false) THEN 'bad_severity' END], lambda x: x IS NOT NULL), ',') AS issues
 FROM (SELECT DISTINCT * FROM incident_meta) LEFT JOIN e USING (incident_id) LEFT JOIN a USING (incident_id)""")
 def incident_validation(spark, root):
-    """Checks of incidents against their events and actions; window checks need instants and are tested apart."""
+    """Checks of incidents against their events and actions, without those of their windows: incident_validation_whole has all."""
     meta = table(spark, root, "incident_meta").distinct().withColumns({"s": F.lit(0), "e": F.lit(1)})
     ev = table(spark, root, "telemetry").select("incident_id", "event_id").distinct()
     out = audit.incident_issues(meta, table(spark, root, "human_actions").distinct(), ev, "s", "e")
     return out.select("incident_id", "events", "actions", joined("issues").alias("issues"))
 
 
+_WINDOWS = "SELECT row_id, 's' AS side, time_window_start AS value, reporting_source AS src FROM m UNION ALL SELECT row_id, 'e', time_window_end, reporting_source FROM m"
+
+
+@query(f"""WITH m AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM (SELECT DISTINCT * FROM incident_meta)), {problem_sql.instants(_WINDOWS)},
+i AS (SELECT row_id, max(instant_us) FILTER (side = 's') AS s, max(instant_us) FILTER (side = 'e') AS e FROM timed GROUP BY 1),
+v AS (SELECT incident_id, count(DISTINCT event_id) AS events FROM telemetry GROUP BY 1),
+a AS (SELECT incident_id, count(*) AS actions, count(*) FILTER (approval IS NULL) AS na FROM (SELECT DISTINCT * FROM human_actions) GROUP BY 1)
+SELECT incident_id, coalesce(events, 0) AS events, coalesce(actions, 0) AS actions, array_to_string(list_filter([CASE WHEN coalesce(events, 0) = 0 THEN 'no_events' END, CASE WHEN coalesce(actions, 0) = 0 THEN 'no_actions' END,
+  CASE WHEN coalesce(na, 0) > 0 THEN 'approval_missing' END, CASE WHEN NOT coalesce(severity IN ('low', 'medium', 'high', 'critical'), false) THEN 'bad_severity' END,
+  CASE WHEN e < s THEN 'window_reversed' END, CASE WHEN s IS NULL OR e IS NULL THEN 'no_window' END], lambda x: x IS NOT NULL), ',') AS issues
+FROM m JOIN i USING (row_id) LEFT JOIN v USING (incident_id) LEFT JOIN a USING (incident_id)""")
+def incident_validation_whole(spark, root):
+    """All checks of incidents: against their events and actions, and of the instants of their windows."""
+    zones = source_zones(table(spark, root, "log_sources"))
+    meta = table(spark, root, "incident_meta").distinct()
+    meta = with_instant(with_instant(meta, "time_window_start", "reporting_source", zones, "s"), "time_window_end", "reporting_source", zones, "e")
+    ev = table(spark, root, "telemetry").select("incident_id", "event_id").distinct()
+    out = audit.incident_issues(meta, table(spark, root, "human_actions").distinct(), ev, "s", "e")
+    return out.select("incident_id", "events", "actions", joined("issues").alias("issues"))
+
+
 @query("SELECT incident_id, count(*) AS rows, count(*) FILTER (approval IS NULL) AS approval_nulls, count(*) FILTER (action_order IS NULL) AS action_order_nulls, count(*) FILTER (timestamp IS NULL) AS timestamp_nulls FROM human_actions GROUP BY 1")
 def null_audit_counts(spark, root):
     return audit.null_counts(table(spark, root, "human_actions"), ["approval", "action_order", "timestamp"], "incident_id")
