@@ -1117,11 +1117,18 @@ def human_actions_from_tasks(spark, root):
 
 @query("SELECT doc_id, regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') AS redacted, CASE WHEN regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') THEN '[note withheld]' ELSE left(text, 80) END AS note FROM documents WHERE text IS NOT NULL")
 def redact_contact_notes(spark, root):
-    """Notes that name a person are withheld."""
+    """Notes that name a person are withheld, the others cut to 80 characters: redact_contact_notes_whole has all of them."""
     hit = F.lower("text").rlike("user_[0-9]+|analyst_[0-9]+")
     return table(spark, root, "documents").where("text is not null").select("doc_id", hit.alias("redacted"), F.when(hit, "[note withheld]").otherwise(F.substring("text", 1, 80)).alias("note"))
 
 
+@query("SELECT doc_id, regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') AS redacted, CASE WHEN regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') THEN '[note withheld]' ELSE text END AS note FROM documents WHERE text IS NOT NULL")
+def redact_contact_notes_whole(spark, root):
+    """Notes that name a person are withheld, the others are given whole."""
+    hit = F.lower("text").rlike("user_[0-9]+|analyst_[0-9]+")
+    return table(spark, root, "documents").where("text is not null").select("doc_id", hit.alias("redacted"), F.when(hit, "[note withheld]").otherwise(F.col("text")).alias("note"))
+
+
 @query(rf"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\x{{0B}}\x{{A0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS bare FROM documents WHERE text IS NOT NULL")
 def strip_html(spark, root):
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.sha2(text.without_tags("text"), 256).alias("bare"))

@@ -22,3 +22,10 @@ def test_incident_windows(spark, tmp_path):
         c.sql(f"COPY {t} TO '{os.path.join(tmp_path, name)}.parquet' (FORMAT parquet)")
     got = {r.incident_id: r.issues for r in reference.incident_validation_whole(spark, str(tmp_path)).collect()}
     assert got == {"fine": "", "reversed": "window_reversed", "open": "no_window", "unreadable": "no_window", "by zone": "window_reversed"}
+
+
+def test_notes_are_whole(spark, tmp_path):
+    rows = [(1, "x" * 81 + " end"), (2, "Ask USER_12 about it"), (3, "short"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.redacted, r.note) for r in reference.redact_contact_notes_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: (False, "x" * 81 + " end"), 2: (True, "[note withheld]"), 3: (False, "short"), 5: (False, "")}
