@@ -27,9 +27,8 @@ LONE = ("processes", "children", "alerts", "evidence", "connections", "hops", "a
 NODE_SCHEMA = "owner_id bigint, group_path string, node_path string, parent_path string"
 TRIPLE_SCHEMA = NODE_SCHEMA + ", field string, value string, ordinal int"
 
-#: Records deeper than this are cut off there: Python's own parser ends at about this depth.
-MAX_DEPTH = 900
-
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder().scan_once
 _PAIR = re.compile(r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})|\\')
 
 
@@ -38,15 +37,77 @@ def repair_backslashes(text: str) -> str:
     return _PAIR.sub(lambda m: m[0] if len(m[0]) > 1 else "\\\\", text)
 
 
+def parse_deep(text: str) -> object:
+    """json.loads for any depth: containers wait on a list instead of the call stack."""
+
+    def skip(at: int) -> int:
+        return _BLANK.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError("no name")
+        name, at = _SCALAR(text, at)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError("no colon")
+        return name, skip(at + 1)
+
+    # Containers that are open, and the name (None in a list) under which each lies in the one before it.
+    opened: list[tuple[dict | list, str | None]] = []
+    name, at = None, skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c and c in "{[":
+            value: object = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                opened.append((value, name))
+                name, at = key(at) if c == "{" else (None, at)
+                continue
+            at += 1
+        else:
+            try:
+                value, at = _SCALAR(text, at)
+            except StopIteration:
+                raise ValueError("no value") from None
+        while opened:
+            into, outer = opened[-1]
+            if isinstance(into, dict):
+                into[name] = value
+            else:
+                into.append(value)
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                name, at = key(at) if isinstance(into, dict) else (None, at)
+                break
+            if c != ("}" if isinstance(into, dict) else "]"):
+                raise ValueError("no end")
+            opened.pop()
+            value, name, at = into, outer, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError("more than a value")
+            return value
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return parse_deep(text)
+
+
 def parse(text: str) -> object:
     """The JSON value of ``text``, if need be after the backslash repair; None where it can't be read."""
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return _loads(text)
+    except ValueError:
         pass
     try:
-        return json.loads(repair_backslashes(text)) if "\\" in text else None
-    except (ValueError, RecursionError):
+        return _loads(repair_backslashes(text)) if "\\" in text else None
+    except ValueError:
         return None
 
 
@@ -58,10 +119,10 @@ def walk(value: object, root: str, lone: frozenset[str], structure_only: bool =
     scalars of a node.  With ``structure_only``, only the marks are given.
     """
     counts: dict[str, int] = {}
-    # What is left to do, in reverse order: value, its path, its group path, is it in a list, the nearest node, its group, the field below it, depth.
-    todo: list[tuple] = [(value, root, root, False, "", root, "", 0)]
+    # What is left to do, in reverse order: value, its path, its group path, is it in a list, the nearest node, its group, the field below it.
+    todo: list[tuple] = [(value, root, root, False, "", root, "")]
     while todo:
-        v, path, group, listed, node, node_group, field, depth = todo.pop()
+        v, path, group, listed, node, node_group, field = todo.pop()
         if isinstance(v, str):
             head = v.lstrip()[:1]
             if head and head in "{[":
@@ -72,21 +133,19 @@ def walk(value: object, root: str, lone: frozenset[str], structure_only: bool =
             if listed:
                 yield group, path, node, None, None, 0
                 node, node_group, field = path, group, ""
-            if depth < MAX_DEPTH:
-                for k in reversed(v):
-                    x, p, g, f = v[k], f"{path}.{k}", f"{group}.{k}", f"{field}.{k}" if field else k
-                    if k in lone and not isinstance(x, list):
-                        y = x
-                        if isinstance(y, str) and y.lstrip()[:1] in ("{", "["):
-                            y = parse(y)
-                        if isinstance(y, dict):
-                            todo.append((y, p + "[0]", g + "[]", True, node, node_group, f + "[0]", depth + 1))
-                            continue
-                    todo.append((x, p, g, False, node, node_group, f, depth + 1))
+            for k in reversed(v):
+                x, p, g, f = v[k], f"{path}.{k}", f"{group}.{k}", f"{field}.{k}" if field else k
+                if k in lone and not isinstance(x, list):
+                    y = x
+                    if isinstance(y, str) and y.lstrip()[:1] in ("{", "["):
+                        y = parse(y)
+                    if isinstance(y, dict):
+                        todo.append((y, p + "[0]", g + "[]", True, node, node_group, f + "[0]"))
+                        continue
+                todo.append((x, p, g, False, node, node_group, f))
         elif isinstance(v, list):
-            if depth < MAX_DEPTH:
-                for i in range(len(v) - 1, -1, -1):
-                    todo.append((v[i], f"{path}[{i}]", f"{group}[]", True, node, node_group, f"{field}[{i}]", depth + 1))
+            for i in range(len(v) - 1, -1, -1):
+                todo.append((v[i], f"{path}[{i}]", f"{group}[]", True, node, node_group, f"{field}[{i}]"))
         elif not structure_only:
             n = counts[node] = counts.get(node, -1) + 1
             yield node_group, node, None, field, v if isinstance(v, str) or v is None else json.dumps(v), n
