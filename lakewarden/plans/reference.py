@@ -787,9 +787,15 @@ def dedupe_keep_first(spark, root):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 5")
 def topk_count_desc(spark, root):
+    """The five most frequent sources: count_desc_whole has all of them."""
     return table(spark, root, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(5)
 
 
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source NULLS FIRST")
+def count_desc_whole(spark, root):
+    return table(spark, root, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
+
+
 @query(f"WITH {S.EVENTS}, p AS (SELECT incident_id, event_id, {S.has_any('lower(coalesce(command, chr(0)) || chr(32) || event_type)', PRIORITY_WORDS)} AS first_, line_no FROM ev) SELECT incident_id, event_id FROM p QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY CASE WHEN first_ THEN 0 ELSE 1 END, line_no) <= 40")
 def priority_truncate(spark, root):
     """At most forty events of each incident: those that matter first, then in order of arrival."""

@@ -29,3 +29,10 @@ def test_notes_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.redacted, r.note) for r in reference.redact_contact_notes_whole(spark, str(tmp_path)).collect()}
     assert got == {1: (False, "x" * 81 + " end"), 2: (True, "[note withheld]"), 3: (False, "short"), 5: (False, "")}
+
+
+def test_all_sources_are_counted_in_order(spark, tmp_path):
+    rows = [(s,) for i, s in enumerate(["a", "b", "c", "d", "e", "f", None]) for _ in range(8 - i)] + [("aa",)] * 8
+    spark.createDataFrame(rows, "source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.source, r.n) for r in reference.count_desc_whole(spark, str(tmp_path)).collect()]
+    assert got == [("a", 8), ("aa", 8), ("b", 7), ("c", 6), ("d", 5), ("e", 4), ("f", 3), (None, 2)]
