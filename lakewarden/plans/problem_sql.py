@@ -87,7 +87,7 @@ def _entered(x: str) -> str:
     return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({inner}, '^\\s*[\\[{{]') AND json_valid({inner}) THEN CAST({inner} AS JSON) ELSE {x} END"
 
 
-P5 = f"""WITH RECURSIVE start_ AS (
+_WALK = f"""WITH RECURSIVE start_ AS (
   SELECT DISTINCT 'telemetry' AS owner_table, event_id AS owner_id, 'raw' AS path, {_json('details.raw')} AS v FROM telemetry WHERE details.raw IS NOT NULL
   UNION SELECT DISTINCT 'telemetry', event_id, 'source_summary', {_json('details.source_summary')} FROM telemetry WHERE details.source_summary IS NOT NULL
   UNION SELECT DISTINCT 'verifier_output', run_id, 'violations', to_json(violations) FROM verifier_output WHERE len(violations) > 0),
@@ -103,5 +103,18 @@ walk AS (
     UNION ALL
     SELECT owner_table, owner_id, path, parent, true, '[' || i || ']', json_extract(v, '$[' || i || ']')
       FROM (SELECT *, unnest(range(0, CAST(json_array_length(v) AS BIGINT))) AS i FROM walk WHERE json_type(v) = 'ARRAY'))
-  WHERE json_type({_entered('v')}) IN ('OBJECT', 'ARRAY'))
+  WHERE json_type({_entered('v')}) IN ('OBJECT', 'ARRAY'))"""
+P5 = f"""{_WALK}
 SELECT DISTINCT owner_table, owner_id, path AS node_path, parent AS parent_path FROM walk WHERE listed AND json_type(v) = 'OBJECT'"""
+
+P5_VALUES = f"""{_WALK},
+scalars AS (
+  SELECT owner_table, owner_id, CASE WHEN listed THEN path ELSE parent END AS node, path || '.' || k AS spot, false AS alone, json_extract(v, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(v)) AS k FROM walk WHERE json_type(v) = 'OBJECT')
+  UNION ALL SELECT owner_table, owner_id, path || '[' || i || ']', '', true, json_extract(v, '$[' || i || ']') FROM (SELECT *, unnest(range(0, CAST(json_array_length(v) AS BIGINT))) AS i FROM walk WHERE json_type(v) = 'ARRAY')
+  UNION ALL SELECT owner_table, owner_id, '', path, false, v FROM walk WHERE NOT listed AND parent = '' AND NOT contains(path, '.') AND json_type(v) <> 'NULL')
+SELECT DISTINCT owner_table, owner_id, node AS node_path, CASE WHEN alone THEN 'value' WHEN node = '' THEN substr(spot, length(regexp_extract(spot, '^[a-z_]+')) + 2) ELSE substr(spot, length(node) + 2) END AS field, v->>'$' AS value
+FROM scalars WHERE json_type({_entered('v')}) NOT IN ('OBJECT', 'ARRAY')"""
+
+P5_VIOLATIONS = """WITH v AS (SELECT DISTINCT run_id AS owner_id, violations FROM verifier_output WHERE len(violations) > 0),
+u AS (SELECT owner_id, unnest(range(0, len(violations))) AS i, unnest(violations) AS x FROM v)
+SELECT owner_id, 'violations[' || i || ']' AS node_path, '' AS parent_path, x.rule_id AS rule_id, x.severity AS severity, x.type AS type, x.action AS action, x.repair AS repair, x.missing_before AS missing_before FROM u WHERE x IS NOT NULL"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.operators.instants import FORMATS, rewritten, source_zones, with_instant
-from lakewarden.operators.nested import flat_table, groups, nodes, repair_backslashes, triples
+from lakewarden.operators.nested import flat_table, groups, node_rows, nodes, repair_backslashes, tables, triples
 from lakewarden.operators.sessions import merge_intervals, sessionize
 from lakewarden.plans import problems
 
@@ -258,11 +258,34 @@ def test_nested_edges(spark):
     assert nodes(df.limit(0), "id", ["doc"]).count() == 0
 
     found = triples(df.where("id in (1, 3)"), "id", ["doc"])
-    assert {(r.group_path, r.field) for r in groups(found).collect()} == {("doc.children[]", "a"), ("doc.children[].children[]", "b"), ("doc[].a[][]", "z"), ("doc", "[1]"), ("doc", "[2]")}
+    assert {(r.group_path, r.field) for r in groups(found).collect()} == {("doc.children[]", "a"), ("doc.children[].children[]", "b"), ("doc[].a[][]", "z"), ("doc[]", "value")}
     table = flat_table(found, "doc.children[].children[]", ["b", "owner_id"]).orderBy("node_path").collect()
     assert [tuple(r) for r in table] == [(1, "doc.children[0].children[0]", "doc.children[0]", None, None), (1, "doc.children[0].children[1]", "doc.children[0]", "x", None)]
 
 
+def test_tables_of_nested_records(spark):
+    texts = [
+        (1, '{"host":"a","tags":[1,"x",null],"alerts":[{"code":"A","evidence":{"kind":"k1","tags":[["t"]]}},{"code":1.50,"node_path":true,"deep":{"er":{"v":null}}}]}'),
+        (2, '{"alerts":[{"evidence":[{"kind":"k2"},{}]}],"tags":[]}'), (None, '{"host":"b"}'), (3, '5'), (4, 'broken {'),
+    ]
+    rows = node_rows(spark.createDataFrame(texts, "id bigint, doc string"), "id", ["doc"]).cache()
+    found = {k: sorted((tuple(r) for r in t.collect()), key=str) for k, t in tables(rows).items()}
+    names = {k: t.columns[3:] for k, t in tables(rows).items()}
+    assert names == {
+        "doc": ["", "host"], "doc.tags[]": ["value"], "doc.alerts[]": ["code", "deep.er.v", "_node_path"],
+        "doc.alerts[].evidence[]": ["kind"], "doc.alerts[].evidence[].tags[][]": ["value"],
+    }
+    assert found["doc"] == [(1, "", "", None, "a"), (3, "", "", "5", None), (None, "", "", None, "b")]
+    assert found["doc.tags[]"] == [(1, "doc.tags[0]", "", "1"), (1, "doc.tags[1]", "", "x"), (1, "doc.tags[2]", "", None)]
+    assert found["doc.alerts[]"] == [(1, "doc.alerts[0]", "", "A", None, None), (1, "doc.alerts[1]", "", "1.50", None, "true"), (2, "doc.alerts[0]", "", None, None, None)]
+    assert found["doc.alerts[].evidence[]"] == [(1, "doc.alerts[0].evidence[0]", "doc.alerts[0]", "k1"), (2, "doc.alerts[0].evidence[0]", "doc.alerts[0]", "k2"), (2, "doc.alerts[0].evidence[1]", "doc.alerts[0]", None)]
+    assert found["doc.alerts[].evidence[].tags[][]"] == [(1, "doc.alerts[0].evidence[0].tags[0][0]", "doc.alerts[0].evidence[0]", "t")]
+    with pytest.raises(ValueError, match="more than 3 columns"):
+        tables(rows, most=3)
+    deep = spark.createDataFrame([(1, '[{"a":' * 5000 + "1" + "}]" * 5000)], "id bigint, doc string")
+    assert nodes(deep, "id", ["doc"]).count() == 5000
+
+
 def test_repair():
     assert repair_backslashes(r"C:\Users") == r"C:\\Users"
     assert repair_backslashes(r"a\\nb\q\u12x\u00e9" + "\\") == r"a\\nb\\q\\u12x\u00e9" + "\\\\"
