@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,7 +35,7 @@ SALTS = 64
 #: Values that a task holds before it gives away what it has.
 HELD = 4_000_000
 
-_FIELDS = "n bigint, over bigint, under bigint, smallest double, largest double, turns array<bigint>, sizes array<int>, data array<double>"
+_FIELDS = "k int, n bigint, over bigint, under bigint, smallest double, largest double, turns array<bigint>, sizes array<int>, data array<double>"
 
 
 class Sketch:
@@ -84,7 +84,9 @@ class Sketch:
             level += 1
 
     def merge(self, row: object) -> None:
-        """Takes in a stored sketch (a row with the columns of row())."""
+        """Takes in a stored sketch (a row with the columns of row()); one with another k can't be."""
+        if int(row.k) != self.k:
+            raise ValueError(f"a sketch with k = {row.k} can't be merged into one with k = {self.k}")
         self.n += int(row.n)
         self.over, self.under = self.over + int(row.over), self.under + int(row.under)
         self.smallest, self.largest = min(self.smallest, row.smallest), max(self.largest, row.largest)
@@ -105,7 +107,7 @@ class Sketch:
     def row(self) -> tuple:
         """What is stored: sizes and data hold the values without a buffer first, then the buffer of each level (or none)."""
         parts = [np.sort(np.concatenate(self.tail)) if self.held else np.empty(0), *[b if b is not None else np.empty(0) for b in self.levels]]
-        return (self.n, self.over, self.under, float(self.smallest), float(self.largest), self.turns, [len(p) for p in parts], np.concatenate(parts))
+        return (self.k, self.n, self.over, self.under, float(self.smallest), float(self.largest), self.turns, [len(p) for p in parts], np.concatenate(parts))
 
 
 def weighted(row: object) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def _batch(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def build(df: DataFrame, keys: list[str], value: str, k: int = BUFFER) -> DataFrame:
-    """One sketch per group of ``keys``: the keys, n, over, under, smallest, largest, turns, sizes, data.
+    """One sketch per group of ``keys``: the keys, k, n, over, under, smallest, largest, turns, sizes, data.
 
     Null and NaN values are left out; groups without values give no row.  Null keys are a group
     of their own.  Ties and repeated rows all count.  A key named like a column of the sketch is
@@ -169,7 +171,7 @@ def _stored(df: DataFrame, keys: list[str]) -> T.StructType:
 def combine(sketches: DataFrame, keys: list[str], k: int = BUFFER) -> DataFrame:
     """Merges sketches of the same keys, for instance of separate days, into one each.
 
-    Errors add up as in a single build; all sketches must have been built with the same ``k``.
+    Errors add up as in a single build; a sketch that was built with another ``k`` fails the job.
     Sketches come to a task in the order of their keys and are merged one by one, so a task
     holds one group at a time.
     """
@@ -237,6 +239,23 @@ def percentiles(sketches: DataFrame, keys: list[str], wanted: list[float]) -> Da
     return sketches.mapInPandas(run, schema)
 
 
+def settle(values: DataFrame, keys: list[str], value: str, bounds: DataFrame) -> DataFrame:
+    """keys, percentile, n, exact: the percentiles themselves, from the bounds that percentiles() gave for the same rows.
+
+    Values up to ``above`` are only counted, those beyond ``at_most`` are left out; of the few in
+    between, equal ones are counted together on the map side before they are put in order.
+    Null keys find no bounds.
+    """
+    own = values.select(*keys, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    asked = bounds.select(*keys, "percentile", "n", "place", "above", "at_most")
+    met = own.join(asked, keys).where(F.col("_value") <= F.col("at_most"))
+    open_ = F.when(F.col("above").isNull() | (F.col("_value") > F.col("above")), F.col("_value"))
+    counted = met.groupBy(*keys, "percentile", "n", "place", open_.alias("_open")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys, "percentile").orderBy(F.col("_open").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.withColumn("_upto", F.sum("_c").over(upto)).where(F.col("_open").isNotNull() & (F.col("_upto") >= F.col("place")))
+    return reached.groupBy(*keys, "percentile", "n").agg(F.min("_open").alias("exact"))
+
+
 def place_of(p: float, n: int) -> int:
     """ceil(p * n / 100), exactly for whole p."""
     return max(1, -(-int(p) * n // 100)) if float(p).is_integer() else max(1, int(np.ceil(p * n / 100)))

@@ -12,7 +12,7 @@ from lakewarden.llm.cooccurrence import pairs
 from lakewarden.llm.leakage import leaks
 from lakewarden.llm.mixing import mix
 from lakewarden.llm.mojibake import repair
-from lakewarden.llm.quantiles import build, place_of, weighted
+from lakewarden.llm.quantiles import build, combine, percentiles, place_of, settle, weighted
 from lakewarden.llm.runs import canonical, collapse_runs
 from lakewarden.plans.problem_sql import EVENTS, instants
 from lakewarden.plans.problems import MINUTE_US, timed_telemetry
@@ -52,12 +52,22 @@ def measurements(spark: SparkSession, root: str) -> DataFrame:
 # Metric, percentile and what it is held against.
 LIMITS = {"llm_latency_ms": (95, 30000.0), "llm_cost_estimated_usd": (50, 0.02)}
 GROUP = ["llm_deployment", "week_start", "metric_name"]
+#: Values per buffer for weeks and deployments, which hold hundreds to thousands of values: enough buffers collapse.
+WEEK_BUFFER = 64
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Groups decided by the sketch's bounds, and the exact count of values for those within its error."""
+    decided = p2_verdicts(spark, root)
     values = measurements(spark, root)
-    sketches = cut(build(values, GROUP, "value"))
+    open_groups = decided.where(F.col("over").isNull()).drop("over")
+    upto = values.join(open_groups, GROUP).groupBy(*GROUP, "place").agg(F.count_if(F.col("value") <= F.col("limit")).alias("upto"))
+    return decided.where("over").select(*GROUP).unionByName(upto.where(F.col("upto") < F.col("place")).select(*GROUP))
+
+
+def p2_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """Each group's place and limit, and whether its percentile is over the limit: null where the sketch's bounds leave it open."""
+    sketches = cut(build(measurements(spark, root), GROUP, "value", WEEK_BUFFER))
 
     def decide(frames):
         import numpy as np
@@ -75,10 +85,19 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
                 out.append((row.llm_deployment, row.week_start, row.metric_name, place, limit, verdict))
             yield pd.DataFrame(out, columns=[*GROUP, "place", "limit", "over"])
 
-    decided = sketches.mapInPandas(decide, "llm_deployment string, week_start string, metric_name string, place bigint, limit double, over boolean")
-    open_groups = decided.where(F.col("over").isNull()).drop("over")
-    upto = values.join(open_groups, GROUP).groupBy(*GROUP, "place").agg(F.count_if(F.col("value") <= F.col("limit")).alias("upto"))
-    return decided.where("over").select(*GROUP).unionByName(upto.where(F.col("upto") < F.col("place")).select(*GROUP))
+    return sketches.mapInPandas(decide, "llm_deployment string, week_start string, metric_name string, place bigint, limit double, over boolean")
+
+
+WANTED = [5, 25, 50, 75, 95, 99]
+
+
+def p2_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of each deployment over all weeks: weekly sketches are combined, and their bounds then settled exactly."""
+    values = measurements(spark, root)
+    keys = ["llm_deployment", "metric_name"]
+    weekly = build(values, GROUP, "value", WEEK_BUFFER)
+    bounds = cut(percentiles(combine(weekly.drop("week_start"), keys, WEEK_BUFFER), keys, WANTED))
+    return settle(values, keys, "value", bounds)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -101,7 +120,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p4_found": p4_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p9_found": p9_found}
 
 
 P1_SQL = """
@@ -127,7 +146,7 @@ JOIN one b ON b.field_name = t.field_name AND b.action = action_b
 WHERE n_ab >= 3 AND n_ab * 1000 >= n.n AND n_ab * n.n >= 2 * a.n * b.n
 """
 
-P2_SQL = """
+_P2_VALUES = """
 WITH runs AS (
   SELECT * FROM verifier_output QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY written_at) = 1),
 stamped AS (
@@ -136,7 +155,9 @@ stamped AS (
     llm_latency_ms, llm_cost_estimated_usd FROM runs),
 v AS (
   SELECT llm_deployment, week_start, 'llm_latency_ms' AS metric_name, CAST(llm_latency_ms AS DOUBLE) AS value, 95 AS p, 30000.0 AS lim FROM stamped
-  UNION ALL SELECT llm_deployment, week_start, 'llm_cost_estimated_usd', llm_cost_estimated_usd, 50, 0.02 FROM stamped),
+  UNION ALL SELECT llm_deployment, week_start, 'llm_cost_estimated_usd', llm_cost_estimated_usd, 50, 0.02 FROM stamped)"""
+
+P2_SQL = f"""{_P2_VALUES},
 placed AS (
   SELECT *, row_number() OVER g AS place, count(*) OVER (PARTITION BY llm_deployment, week_start, metric_name) AS n FROM v
   WHERE value >= 0 AND NOT isnan(value) AND llm_deployment <> '' AND week_start IS NOT NULL
@@ -144,6 +165,14 @@ placed AS (
 SELECT llm_deployment, week_start, metric_name FROM placed WHERE place = (p * n + 99) // 100 AND value > lim
 """
 
+P2_PERCENTILES = f"""{_P2_VALUES},
+placed AS (
+  SELECT llm_deployment, metric_name, value, row_number() OVER (PARTITION BY llm_deployment, metric_name ORDER BY value) AS place, count(*) OVER (PARTITION BY llm_deployment, metric_name) AS n FROM v
+  WHERE value >= 0 AND NOT isnan(value) AND llm_deployment <> '' AND week_start IS NOT NULL),
+wanted(percentile) AS (VALUES {", ".join(f"({p})" for p in WANTED)})
+SELECT llm_deployment, metric_name, CAST(percentile AS DOUBLE) AS percentile, n, value AS exact FROM placed, wanted WHERE place = (percentile * n + 99) // 100
+"""
+
 
 P4_SQL = f"""WITH {instants(EVENTS)},
 e AS (SELECT source_ip, event_id, instant_us AS t, regexp_replace(regexp_replace(lower(event_type), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '\\p{{N}}+$', '') AS v FROM timed WHERE source_ip IS NOT NULL AND instant_us IS NOT NULL),
@@ -163,4 +192,4 @@ SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_percentiles": P2_PERCENTILES, "p4_found": P4_SQL, "p7_found": P7_SQL}

@@ -17,7 +17,7 @@ from lakewarden.llm.leakage import leaks, suffix_array, without_leaks, words
 from lakewarden.llm.mixing import TOKENIZER, count_tokens, counter, mix, plan, schedule
 from lakewarden.llm.mojibake import Judge, from_utf8, judge, repair, train, unescape
 from lakewarden.llm.plausible import ROW, Model, Tally
-from lakewarden.llm.quantiles import Sketch, build, combine, percentiles, place_of, weighted
+from lakewarden.llm.quantiles import Sketch, build, combine, percentiles, place_of, settle, weighted
 from lakewarden.llm.runs import canonical, collapse_runs
 
 MISSING = ("", "N/A", "null", "None")
@@ -59,7 +59,7 @@ def test_sketch_bounds(kind):
     sketch = Sketch(64)
     for part in np.array_split(values, 7):
         sketch.add(part)
-    row = type("Row", (), dict(zip("n over under smallest largest turns sizes data".split(), sketch.row(), strict=True)))
+    row = type("Row", (), dict(zip("k n over under smallest largest turns sizes data".split(), sketch.row(), strict=True)))
     held, ranks = weighted(row)
     assert sketch.n == len(values) == ranks[-1]
     true = np.searchsorted(np.sort(values), held, side="right")
@@ -91,6 +91,41 @@ def test_percentiles_of_groups_and_days(spark):
     assert place_of(95, 100) == 95 and place_of(50, 3) == 2 and place_of(50, 1) == 1
 
 
+def test_many_buffers_are_within_the_bound_and_settle_exactly(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{i % 2}", int(i % 5), float(v)) for i, v in enumerate(rng.lognormal(size=24_000).round(2))]
+    df = spark.createDataFrame(rows, "g string, day int, v double").repartition(6)
+    merged = combine(build(df, ["g", "day"], "v", k=64).drop("day"), ["g"], k=64).cache()
+    for row in merged.collect():
+        own = np.sort([v for g, _, v in rows if g == row.g])
+        assert row.n == len(own) >= 50 * 64 and sum(row.turns) >= 50 and row.over + row.under > 0
+        held, ranks = weighted(row)
+        last = np.searchsorted(held, held, side="right") - 1
+        true = np.searchsorted(own, held, side="right")
+        assert np.all(ranks[last] - row.over <= true) and np.all(true <= ranks[last] + row.under)
+    bounds = percentiles(merged, ["g"], [1, 50, 90, 100])
+    for r in settle(df, ["g"], "v", bounds).collect():
+        own = sorted(v for g, _, v in rows if g == r.g)
+        assert r.exact == own[place_of(r.percentile, len(own)) - 1] and r.n == len(own)
+    assert settle(df.limit(0), ["g"], "v", bounds).count() == 0
+
+
+def test_sketches_of_other_buffers_are_refused(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(500)], "g string, v double")
+    both = build(df, ["g"], "v", k=64).unionByName(build(df, ["g"], "v", k=32))
+    with pytest.raises(Exception, match="can't be merged"):
+        combine(both, ["g"], k=64).collect()
+
+
+def test_verdicts_that_are_left_open(spark, small):
+    """What the bounds decide is right, and few groups are left to the count."""
+    decided = queries.p2_verdicts(spark, small).collect()
+    assert sum(r.over is None for r in decided) <= 0.1 * len(decided)
+    found = {tuple(r) for r in queries.p2_found(spark, small).collect()}
+    assert {(r.llm_deployment, r.week_start, r.metric_name) for r in decided if r.over} <= found
+    assert not {(r.llm_deployment, r.week_start, r.metric_name) for r in decided if r.over is False} & found
+
+
 # Runs
 
 
