@@ -175,6 +175,24 @@ def test_runs_over_block_borders(spark, block):
     assert [(r.ip, r.run_length) for r in long] == [("long", 300)]
 
 
+@pytest.mark.parametrize("rows", [2, 5, 40])
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_runs_of_a_crowded_hour(spark, monkeypatch, rows, few):
+    """One entity with all events within an hour, many at one instant, is cut into small blocks, and runs go on over their borders."""
+    from lakewarden.llm import runs
+
+    monkeypatch.setattr(runs, "BROADCAST_SPLITS", few)
+    rng = random.Random(rows)
+    events = {("hot", rng.randrange(60), i, rng.choice(["a", "a", "a", "b", None])) for i in range(300)} | {("hot", 200 + i // 7, 1000 + i, "x") for i in range(200)}
+    events |= {("hot", 130 + 10 * i, 3000 + i, "y") for i in range(4)} | {("cold", 5, None, "a"), ("cold", 5, 4000, "a")}
+    df = spark.createDataFrame([*events] * 2, "ip string, at bigint, id bigint, kind string")
+    got = collapse_runs(df.where("id is not null"), "ip", "at", "id", "kind", pause_us=20, block_us=100, block_rows=rows)
+    assert sorted((r.ip, r.first_event_id, r.last_event_id, r.run_length, r.duration_us) for r in got.collect()) == brute_runs([e for e in events if e[2] is not None], 20)
+    cut_ = runs._in_blocks(df.selectExpr("ip _e", "0L _b", "at _t", "id _i", "kind _v").distinct(), rows).groupBy("_e", "_k").count()
+    assert cut_.where("_e = 'hot'").count() > 100 / rows
+    assert collapse_runs(df, "ip", "at", "id", "kind", pause_us=20, block_us=100, block_rows=rows).where("ip = 'cold'").first().run_length == 2
+
+
 def test_canonical(spark):
     values = ["Auth_Failure 02", "authFAILURE", "auth-failure7", "404", "", None, "Ação é1"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
