@@ -2,7 +2,7 @@
 
 Each shard of the corpus gets a suffix array over its words; every suffix of every test
 item is looked up in it by binary search.  A match of at least ``min_words`` words shows
-as a range of neighbouring suffixes, and each is extended to its full length.
+as a range of neighbouring suffixes, which are extended to their full length together.
 
 Words that no item contains can't be part of a match, so a shard's array only covers
 stretches of item words of at least ``min_words``: the array of a shard stays small however
@@ -81,7 +81,9 @@ class Items:
     def search(self, shard: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
         """doc_id, item_id, words, doc_word, item_word: the longest match of each item in each document of a shard.
 
-        ``shard``: doc_id, first word and numbers of each stretch.
+        ``shard``: doc_id, first word and numbers of each stretch.  Of the places where a suffix of an
+        item is found, those that a longer match to the left covers are dropped, and the rest
+        grow together, a word at a time.
         """
         if not shard:
             return
@@ -91,35 +93,44 @@ class Items:
         for (_, _, x), at in zip(shard, starts, strict=False):
             flat[at : at + len(x)] = x
         text = flat.tobytes()
-        order = suffix_array(flat.astype(np.int64), self.longest).tolist()
+        flat = flat.astype(np.int64)
+        places_in_order = suffix_array(flat, self.longest)
+        order = places_in_order.tolist()
+        doc_of = np.array([doc_id for doc_id, _, _ in shard], dtype=np.int64)
+        first_of = np.array([first for _, first, _ in shard], dtype=np.int64)
         head = 4 * self.min_words
 
         def key(at: int) -> bytes:
             return text[4 * at : 4 * at + head]
 
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for item_id, item, n in self.texts:
+            own = np.frombuffer(item, dtype=">u4").astype(np.int64)
+            found: list[np.ndarray] = []
             for at in range(n - self.min_words + 1):
                 wanted = item[4 * at : 4 * at + head]
                 low = bisect_left(order, wanted, key=key)
                 if low == len(order) or key(order[low]) != wanted:
                     continue
-                high = bisect_right(order, wanted, lo=low, key=key)
-                for place in order[low:high]:
-                    i = int(np.searchsorted(starts, place, side="right")) - 1
-                    doc_id, first, x = shard[i]
-                    name = (doc_id, item_id)
-                    have = best.get(name, (0, 0, 0))[0]
-                    room = min(n - at, len(x) - (place - int(starts[i])))
-                    if room <= have:
-                        continue
-                    length = self.min_words
-                    while length < room and item[4 * (at + length) : 4 * (at + length) + 4] == text[4 * (place + length) : 4 * (place + length) + 4]:
-                        length += 1
-                    if length > have:
-                        best[name] = (length, first + place - int(starts[i]), at)
-        for (doc_id, item_id), (length, doc_word, item_word) in best.items():
-            yield doc_id, item_id, length, doc_word, item_word
+                places = places_in_order[low : bisect_right(order, wanted, lo=low, key=key)]
+                if at:
+                    # Before the first word of a shard stands the mark that ends its last stretch.
+                    places = places[flat[places - 1] != own[at - 1]]
+                length = np.full(len(places), self.min_words)
+                growing, size = np.arange(len(places)), self.min_words
+                while len(growing) and at + size < n:
+                    growing = growing[flat[places[growing] + size] == own[at + size]]
+                    size += 1
+                    length[growing] = size
+                found.append(np.stack([length, places, np.full(len(places), at)]))
+            if not found:
+                continue
+            length, places, at = np.concatenate(found, axis=1)
+            stretch = np.searchsorted(starts, places, side="right") - 1
+            docs, doc_word = doc_of[stretch], first_of[stretch] + places - starts[stretch]
+            best = np.lexsort((at, doc_word, -length, docs))
+            best = best[np.concatenate(([True], docs[best][1:] != docs[best][:-1]))] if len(best) else best
+            for i in best.tolist():
+                yield int(docs[i]), item_id, int(length[i]), int(doc_word[i]), int(at[i])
 
 
 def blocks(items: DataFrame, item_id: str, text: str, block_words: int, min_words: int) -> Iterator[Items]:
@@ -138,12 +149,12 @@ def blocks(items: DataFrame, item_id: str, text: str, block_words: int, min_word
         yield Items(held, min_words)
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, shard_words: int = 1_000_000, block_words: int = 1_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, shard_words: int = 1_000_000, block_words: int = 4_000_000) -> DataFrame:
     """The documents that hold at least ``min_words`` consecutive words of an item.
 
     Columns: doc_id, item_id, words (length of the longest match), doc_word, item_word (its first
-    word in each).  ``documents`` has doc_id and text, ``items`` item_id and text.  One row per
-    document row and item; null ids and null or empty texts give none, items shorter than
+    word in each; of equal matches the first).  ``documents`` has doc_id and text, ``items`` item_id
+    and text.  One row per doc_id and item_id, also where an id has several rows; null ids and null or empty texts give none, items shorter than
     ``min_words`` have no matches.  Other columns are ignored.
     """
     spark = documents.sparkSession
@@ -174,7 +185,9 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, shard_wor
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    # Matches only, so little is shuffled: an id may have rows in several shards, an item several texts.
+    best = F.max(F.struct("words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("_m")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_m.words", (-F.col("_m.d")).alias("doc_word"), (-F.col("_m.i")).alias("item_word"))
 
 
 def _batch(rows: Iterator[tuple]) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions.present import present, strip
 from lakewarden.llm.cooccurrence import pairs
-from lakewarden.llm.leakage import leaks
+from lakewarden.llm.leakage import leaks, without_leaks
 from lakewarden.llm.mixing import mix
 from lakewarden.llm.mojibake import repair
 from lakewarden.llm.quantiles import build, combine, percentiles, place_of, settle, weighted
@@ -111,6 +111,12 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), min_words=12).select("doc_id", "item_id")
 
 
+def p7_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that hold nothing of any item."""
+    documents = table(spark, root, "documents")
+    return without_leaks(documents, leaks(documents, table(spark, root, "eval_items"), min_words=12)).select("doc_id", "n_chars")
+
+
 def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
     return mix(table(spark, root, "documents"), table(spark, root, "mix_targets")).rows
 
@@ -120,7 +126,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p4_found": p4_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p4_found": p4_found, "p7_found": p7_found, "p7_kept": p7_kept, "p8_mixture": p8_mixture, "p9_found": p9_found}
 
 
 P1_SQL = """
@@ -181,15 +187,17 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY source_ip ORDER BY t, event_id ROWS
 SELECT source_ip, arg_min(event_id, (t, event_id)) AS first_event_id, arg_max(event_id, (t, event_id)) AS last_event_id, count(*) AS run_length FROM s GROUP BY source_ip, k HAVING count(*) > 1"""
 
 # Every stretch of twelve words of an item, looked up among those of every document.
-P7_SQL = r"""
+_P7 = r"""
 WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id AS id, text FROM eval_items WHERE text IS NOT NULL),
 dw AS (SELECT id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\p{Cf}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM d),
 iw AS (SELECT id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\p{Cf}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM i),
 dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
-ig AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)
-SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)
-"""
+ig AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)"""
+P7_SQL = f"""{_P7}
+SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)"""
+P7_KEPT = f"""{_P7}
+SELECT doc_id, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT dg.id FROM dg JOIN ig USING (g) WHERE dg.id IS NOT NULL)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_percentiles": P2_PERCENTILES, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_percentiles": P2_PERCENTILES, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_kept": P7_KEPT}

@@ -13,7 +13,7 @@ from tests.test_problems import timed
 
 from lakewarden.llm import queries
 from lakewarden.llm.cooccurrence import baskets, pairs
-from lakewarden.llm.leakage import leaks, suffix_array, without_leaks, words
+from lakewarden.llm.leakage import Items, leaks, suffix_array, without_leaks, words
 from lakewarden.llm.mixing import TOKENIZER, count_tokens, counter, mix, plan, schedule
 from lakewarden.llm.mojibake import Judge, from_utf8, judge, repair, train, unescape
 from lakewarden.llm.plausible import ROW, Model, Tally
@@ -243,6 +243,22 @@ def test_leaks_edges(spark):
     assert leaks(d, i.limit(0)).count() == 0 and leaks(d.limit(0), i).count() == 0
 
 
+def test_ids_with_several_rows_give_one_match(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (1, "x a b c d e"), (1, "a b c d e f")], "doc_id bigint, text string").repartition(3)
+    i = spark.createDataFrame([(7, "a b c d e f g"), (7, "z"), (8, "b c d")], "item_id bigint, text string")
+    assert sorted(tuple(r) for r in leaks(d, i, min_words=3).collect()) == [(1, 7, 6, 0, 0), (1, 8, 3, 1, 0)]
+
+
+def test_a_repeated_word_takes_no_long(spark):
+    import time
+
+    asked = Items([(1, ["w"] * 150), (2, ["w"] * 20 + ["v"] * 20)], 12)
+    at = time.time()
+    found = list(asked.search([(5, 0, np.ones(200_000, dtype=np.uint32)), (6, 3, np.ones(30, dtype=np.uint32))]))
+    assert sorted(found) == [(5, 1, 150, 0, 0), (5, 2, 20, 0, 0), (6, 1, 30, 3, 0), (6, 2, 20, 3, 0)]
+    assert time.time() - at < 30
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for n, kinds in ((0, 2), (1, 2), (50, 2), (400, 3), (300, 1)):
