@@ -7,6 +7,9 @@ j of a source with share w may start at slot (j - 1) / w and has to be done by s
 and in every slot the released block with the earliest deadline goes.  Up to any slot a
 source is then less than one block away from its share.
 
+Shares are fractions, so the schedule repeats after a period; the driver makes one period, and the
+slot of any block follows by arithmetic, however large the mixture is.
+
 Which documents are in, and where, follows from running totals of tokens in a fixed random
 order.  They are made in two levels (totals per bucket, then within a bucket), so a source
 with any share of the rows is never in one task.
@@ -19,7 +22,8 @@ import os
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
-from math import ceil, floor, isqrt
+from math import ceil, floor, isqrt, lcm
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,40 +36,55 @@ from lakewarden.sources.tables import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public byte-level rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of a schedule at most; the block grows with the mixture.
-BLOCKS = 50_000
+#: Tokens of a block.
+BLOCK = 2048
+#: Target shares are read to so many digits, which bounds the period of a schedule: 10 ** DIGITS blocks.
+DIGITS = 5
+#: Bytes of a tokenizer's file at most: it is sent to every executor.
+TOKENIZER_BYTES = 256_000_000
 #: Mixture sources at most: they and their schedule are held on the driver.
 SOURCES = 10_000
 
 
-def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
-    """A function that counts the tokens of texts: rank files (.tiktoken), tokenizer files (.json), piece models (.model)."""
+def counter(tokenizer: str, data: bytes | None = None) -> Callable[[list[str]], list[int]]:
+    """A function that counts the tokens of texts: rank files (.tiktoken), tokenizer files (.json), piece models (.model).
+
+    ``data`` is what the file holds, where it can't be read under its name.
+    """
+    if data is None:
+        data = Path(tokenizer).read_bytes()
     if tokenizer.endswith(".tiktoken"):
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
         ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(ranked.encode_ordinary(t)) for t in texts]
     if tokenizer.endswith(".model"):
         import sentencepiece
 
-        pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        pieces = sentencepiece.SentencePieceProcessor(model_proto=data)
         return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(tokenizer)
+    model = Tokenizer.from_str(data.decode())
     model.encode_special_tokens = True
     return lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, out: str = "tokens") -> DataFrame:
-    """Adds BIGINT ``out``: the tokens of ``text`` by a public tokenizer's file (0 for null and empty texts)."""
+    """Adds BIGINT ``out``: the tokens of ``text`` by a public tokenizer's file (0 for null and empty texts).
+
+    The file has to be on the driver only; it is sent along.
+    """
+    data = Path(tokenizer).read_bytes()
+    if len(data) > TOKENIZER_BYTES:
+        raise ValueError(f"a tokenizer of more than {TOKENIZER_BYTES} bytes: {tokenizer}")
+    sent = documents.sparkSession.sparkContext.broadcast(data)
 
     @F.pandas_udf("bigint")
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(tokenizer)
+        count = counter(tokenizer, sent.value)
         for part in parts:
             sizes: list[int] = []
             for at in range(0, len(part), 256):
@@ -83,10 +102,10 @@ def source_name(value: Column | str) -> Column:
 def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> tuple[int, dict[str, Fraction]]:
     """The size of the largest mixture, and the share of each source that has documents.
 
-    ``sizes``: tokens per source, ``targets``: share and repeats allowed.  Shares of sources
-    without documents (or with no repeats) go to the others in proportion.
+    ``sizes``: tokens per source, ``targets``: share (to DIGITS digits) and repeats allowed.  Shares
+    of sources without documents (or with no repeats) go to the others in proportion.
     """
-    able = {s: (Fraction(str(w)), r) for s, (w, r) in targets.items() if w and w > 0 and r and r > 0 and sizes.get(s, 0) > 0}
+    able = {s: (Fraction(round(w * 10**DIGITS), 10**DIGITS), r) for s, (w, r) in targets.items() if w and round(w * 10**DIGITS) > 0 and r and r > 0 and sizes.get(s, 0) > 0}
     whole = sum(w for w, _ in able.values())
     shares = {s: w / whole for s, (w, _) in able.items()}
     if not shares:
@@ -119,6 +138,16 @@ def schedule(shares: dict[str, Fraction], wanted: dict[str, int]) -> list[tuple[
     return out
 
 
+def period(shares: dict[str, Fraction]) -> tuple[int, list[tuple[str, int, int, int]]]:
+    """The length of a schedule's period, and (source, its blocks in a period, block, slot) of each block in the first.
+
+    After so many slots every source has its whole number of blocks, and all begins anew.
+    """
+    length = lcm(*[w.denominator for w in shares.values()]) if shares else 1
+    often = {s: int(w * length) for s, w in shares.items()}
+    return length, [(s, often[s], j, i) for i, (s, j) in enumerate(schedule(shares, often))]
+
+
 def _target_rows(targets: DataFrame) -> dict[str, tuple[float, int]]:
     rows = targets.where(F.col("source").isNotNull()).groupBy(source_name("source").alias("s")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r")).limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
@@ -133,7 +162,7 @@ class Mixture:
         self.rows, self.report, self.size, self.block = rows, report, size, block
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int | None = None, seed: int = 42) -> Mixture:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK, seed: int = 42) -> Mixture:
     """A mixture of ``documents`` (doc_id, text, source) after ``targets`` (source, target_share, max_repeats).
 
     rows: doc_id, source, repeat (0 for the first use), tokens, slot, place (running tokens of the
@@ -143,7 +172,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
 
     Every document of a source is used once before any is used again.  A document belongs to the
     block in which it starts, so a source may be ahead by less than a block and a document.
-    Null and empty texts have no tokens and are never used; sources that are null or have no
+    ``block`` doesn't depend on the size of the mixture; slots of blocks that a source no longer has
+    at its end stay empty.  Null and empty texts have no tokens and are never used; sources that are null or have no
     target neither.  Rows with equal doc_id are separate documents.
     """
     spark = documents.sparkSession
@@ -157,14 +187,14 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     sizes = {s: t for s, (t, _) in totals.items()}
     size, shares = plan(sizes, wanted)
     quota = {s: floor(w * size) for s, w in shares.items()}
-    block = block or max(1024, ceil(size / BLOCKS))
-    count = {s: ceil(q / block) for s, q in quota.items()}
-    slots = spark.createDataFrame([(s, j, i) for i, (s, j) in enumerate(schedule(shares, count))], "source string, block bigint, slot bigint")
+    length, slots = period(shares)
+    # At most 10 ** DIGITS blocks.
+    slots = spark.createDataFrame(slots, "source string, often bigint, block bigint, _slot bigint")
     rounds = spark.createDataFrame(
-        [(s, q, sizes[s], -(-q // sizes[s]), max(1, isqrt(totals[s][1]))) for s, q in quota.items()],
-        "source string, quota bigint, all_tokens bigint, rounds bigint, buckets bigint",
+        [(s, q, sizes[s], -(-q // sizes[s]), max(1, isqrt(totals[s][1])), int(shares[s] * length)) for s, q in quota.items()],
+        "source string, quota bigint, all_tokens bigint, rounds bigint, buckets bigint, often bigint",
     )
-    # Both at most SOURCES rows, or BLOCKS + SOURCES for the schedule.
+    # At most SOURCES rows.
     own = rows.join(F.broadcast(rounds), "source").withColumn("_bucket", F.pmod("_key", "buckets"))
     sums = own.groupBy("source", "_bucket").agg(F.sum("tokens").alias("_sum"))
     # As many buckets as rows in a bucket: both levels stay small.
@@ -175,8 +205,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     placed = placed.withColumn("_at", F.col("_start") + F.col("_before"))
     used = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rounds") - 1)).alias("repeat"))
     used = used.withColumn("place", F.col("_at") + F.col("repeat") * F.col("all_tokens")).where(F.col("place") < F.col("quota"))
-    used = used.withColumn("block", slot(F.col("place"), block)).join(F.broadcast(slots), ["source", "block"])
-    used = used.select("doc_id", "source", F.col("repeat").cast("int").alias("repeat"), "tokens", "slot", "place")
+    used = used.withColumn("_block", slot(F.col("place"), block)).withColumn("block", F.pmod("_block", "often")).join(F.broadcast(slots), ["source", "often", "block"])
+    turn = ((F.col("_block") - F.col("block")) / F.col("often")).cast("bigint")
+    used = used.select("doc_id", "source", F.col("repeat").cast("int").alias("repeat"), "tokens", (turn * length + F.col("_slot")).alias("slot"), "place")
 
     fair = spark.createDataFrame(
         [(s, float(w), float(shares.get(s, 0)), int(r or 0), int(sizes.get(s, 0))) for s, (w, r) in wanted.items()],

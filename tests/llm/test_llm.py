@@ -14,7 +14,7 @@ from tests.test_problems import timed
 from lakewarden.llm import queries
 from lakewarden.llm.cooccurrence import baskets, pairs
 from lakewarden.llm.leakage import Items, leaks, suffix_array, without_leaks, words
-from lakewarden.llm.mixing import TOKENIZER, count_tokens, counter, mix, plan, schedule
+from lakewarden.llm.mixing import TOKENIZER, count_tokens, counter, mix, period, plan, schedule
 from lakewarden.llm.mojibake import Judge, from_utf8, judge, repair, train, unescape
 from lakewarden.llm.plausible import ROW, Model, Tally
 from lakewarden.llm.quantiles import Sketch, build, combine, percentiles, place_of, settle, weighted
@@ -282,6 +282,16 @@ def test_schedule_keeps_shares():
     assert plan({}, {"a": (1.0, 1)}) == (0, {})
 
 
+def test_periods_go_on_as_the_schedule():
+    shares = {"a": Fraction(1, 2), "b": Fraction(3, 10), "c": Fraction(1, 5)}
+    length, blocks = period(shares)
+    assert length == 10 and Counter(s for s, *_ in blocks) == {"a": 5, "b": 3, "c": 2}
+    own = sorted((turn * length + slot, s, turn * often + j) for turn in range(7) for s, often, j, slot in blocks)
+    assert [x[1:] for x in own] == schedule(shares, {"a": 35, "b": 21, "c": 14})
+    assert period({}) == (1, [])
+    assert len(period({"a": Fraction(33333, 99999), "b": Fraction(66666, 99999)})[1]) <= 10**5
+
+
 def test_mix(spark, small):
     docs, targets = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/mix_targets.parquet")
     made = mix(docs, targets)
