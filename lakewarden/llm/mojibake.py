@@ -261,12 +261,19 @@ def search(word: str, model: Model) -> dict[Path, tuple[float, str]]:
             continue
         for step, there, more in steps(at):
             way = (*path, step)
+            # A further step has to make up for its own price; where only words together do, they are judged again after this path.
+            most = costs[at] - price((step,), AGAIN) if path else start
             cost = costs.get(there)
+            if cost is None and most <= 0.0 and step[0] != "utf-8":
+                continue
             if cost is None:
-                cost = costs[there] = model.cost(there, start)
+                cost = model.cost(there, start if step[0] == "utf-8" else most)
                 if step[0] == "utf-8":
+                    costs[there] = cost
                     heappush(heap, (cost + lost + more + price(way, model.odds), len(costs), there, lost + more, way))
-            if cost + lost + more < start:
+                elif not path:
+                    costs[there] = cost
+            if cost < most and cost + lost + more < start:
                 found[way] = (start - cost - lost - more, there)
     return found
 
@@ -290,7 +297,9 @@ class Judge:
         self.model = model
         self.known: dict[str, dict[Path, tuple[float, str]]] = {}
         self.costs: dict[tuple[str, Path], float] = {}
+        self.best: dict[str, float] = {}
         self.held = 0
+        self.least = price((("utf-8", READ_AS[0]),), model.odds)
 
     def options(self, word: str) -> dict[Path, tuple[float, str]]:
         out = self.known.get(word)
@@ -299,10 +308,19 @@ class Judge:
             if self.held > REMEMBERED:
                 self.known.clear()
                 self.costs.clear()
+                self.best.clear()
                 self.held = len(word)
             out = self.known[word] = search(word, self.model)
         return out
 
+    def most(self, word: str) -> float:
+        """The most that any path gains on a word."""
+        out = self.best.get(word)
+        if out is None:
+            gains = [g for g, _ in self.options(word).values()]
+            out = self.best[word] = max(gains, default=0.0)
+        return out
+
     def gain(self, word: str, path: Path) -> float:
         """What a path gains on a word; negative where the word would be worse, 0 where nothing changes."""
         have = self.options(word).get(path)
@@ -324,6 +342,9 @@ class Judge:
                 open_.setdefault(w, []).append(i)
         # Words, in the order of their first places.
         while open_:
+            # What all words could gain together, each by its own best path, bounds what a stretch can.
+            if sum(map(self.most, open_)) <= self.least:
+                break
             most: dict[Path, float] = {}
             for w in open_:
                 for path, (gain, _) in self.options(w).items():

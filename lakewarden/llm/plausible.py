@@ -52,6 +52,12 @@ def _context(c: str) -> str:
     return kind(c) if kind(c) in _LARGE else c
 
 
+@cache
+def _low(c: str) -> str:
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
 @cache
 def _case(c: str) -> str:
     return "u" if c.isupper() else "l" if c.islower() else "o" if c.isalpha() else "d" if c.isdigit() else c if c in "\x02\x03" else "s"
@@ -63,7 +69,7 @@ def _places(gram: str) -> tuple[int, int]:
 
 
 def _grams(word: str) -> Iterable[str]:
-    low, marks = f"\x02\x02{word.lower()}\x03", f"\x02\x02{''.join(map(_case, word))}\x03"
+    low, marks = f"\x02\x02{''.join(map(_low, word))}\x03", f"\x02\x02{''.join(map(_case, word))}\x03"
     seen = [_context(c) for c in low]
     kinds = [kind(c) for c in low]
     for i in range(2, len(low)):
@@ -97,10 +103,11 @@ def foreign(word: str) -> float:
 
     Infinite where letters and signs are mixed as in no language, and for what is no text.
     """
-    if any(unicodedata.category(c) in _NO_TEXT for c in word):
+    kinds_of = {kind(c) for c in word}
+    if kinds_of & _NO_TEXT:
         return inf
     total, letters = -log(FOREIGN), False
-    bare = word if word.isascii() else "".join(c for c in word if unicodedata.category(c) != "Cf")
+    bare = "".join([c for c in word if kind(c) != "Cf"]) if "Cf" in kinds_of else word
     for m in _TOKEN.finditer(bare):
         part, group = m[0], m.lastindex
         if group == 1:
@@ -189,9 +196,11 @@ class Model:
         return min(self._at[a], self._at[b])
 
     def _char(self, three: str) -> float:
+        """What the last of three characters costs after the first two."""
         count = self.count
-        c, x, y = three[2], _context(three[0]), _context(three[1])
-        k, m, n = map(kind, three)
+        a, b, c = map(_low, three)
+        x, y = _context(a), _context(b)
+        k, m, n = kind(a), kind(b), kind(c)
         there = count(f"k{n}")
         p = (there + 1) / (count("n") + 64)
         p = (count(f"M{m} {n}") + p) / (count(f"m{m}") + 1)
@@ -199,27 +208,25 @@ class Model:
         p *= (count(f"1{c}") + 1) / (there + max(1, _sizes()[n]))
         p = (count(f"B{y} {c}") + p) / (count(f"b{y}") + 1)
         p = (count(f"3{x} {y} {c}") + p) / (count(f"2{x} {y}") + 1)
-        return -log(p) + (_NEVER if n in _NO_TEXT else 0.0)
-
-    def _mark(self, three: str) -> float:
-        return -log((self.count("C" + three) + 0.1) / (self.count("c" + three[:2]) + 0.6))
+        marks = "".join(map(_case, three))
+        case = (count("C" + marks) + 0.1) / (count("c" + marks[:2]) + 0.6)
+        return -log(p) - log(case) + (_NEVER if n in _NO_TEXT else 0.0)
 
     def cost(self, word: str, most: float = inf) -> float:
         """How implausible ``word`` is, as one of the corpus or of an unknown language; ``most`` where it is more."""
         # A character that comes again and again tells nothing more.
         word = _AGAIN.sub(r"\1\1\1", word)
-        most = min(most, foreign(word))
-        known, total = self._costs, 0.0
-        low, marks = f"\x02\x02{word.lower()}\x03", f"\x02\x02{''.join(map(_case, word))}\x03"
-        for text, tag, price in ((low, "", self._char), (marks, "|", self._mark)):
-            for i in range(len(text) - 2):
-                three = text[i : i + 3]
-                cost = known.get(three + tag)
-                if cost is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    cost = known[three + tag] = price(three)
-                total += cost
-                if total > most:
-                    return most
-        return total
+        known, total, text = self._costs, 0.0, f"\x02\x02{word}\x03"
+        for i in range(len(text) - 2):
+            three = text[i : i + 3]
+            cost = known.get(three)
+            if cost is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                cost = known[three] = self._char(three)
+            total += cost
+            if total > most:
+                total = most
+                break
+        # No character costs less than a digit in an unknown language.
+        return min(total, foreign(word)) if len(word) * _DIGIT - log(FOREIGN) < total else total
