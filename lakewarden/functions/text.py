@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakewarden.functions.present import strip
 
-# Latin letters with marks and what they are without.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
-# What counts as a mail address, an IPv4 address and a technique id.
+# What counts as a mail address, an IPv4 address, a phone number, a checksum, a technique id, a user's folder.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
-TECHNIQUE = r"\b[Tt][0-9]{4}(?:\.[0-9]{3})?\b"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+PHONE = r"(?:\b\d{4}\s*\(\d{2}\)\s*\d{8,9}\b)|(?:\+?\d{1,3}\s*\(?\d{2}\)?\s*\d{4,5}[-\s]?\d{4})"
+HEX_HASH = r"(?i)\b[a-f0-9]{32,64}\b"
+TECHNIQUE = r"(?i)\bT\d{4}(?:\.\d{3})?\b"
+WINDOWS_USER = r"(?i)([A-Z]:\\Users\\)[^\\\s]+"
+POSIX_USER = r"(?i)(/Users/|/home/)[^/\s]+"
 
 
 def _c(x: Column | str) -> Column:
@@ -46,9 +52,24 @@ def without_tags(value: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(_c(value), "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    def fold(text: str | None) -> str | None:
+        if text is None:
+            return None
+        plain = unicodedata.normalize("NFKD", " ".join(re.sub("<[^>]+>", " ", html.unescape(text)).lower().split()))
+        return "".join(c for c in plain if not unicodedata.combining(c))
+
+    return texts.map(fold)
+
+
 def match_form(value: Column | str) -> Column:
-    """Without tags, in lower case, Latin letters without marks."""
-    return F.translate(F.lower(without_tags(value)), ACCENTED, PLAIN)
+    """References resolved, without tags, in lower case, white space collapsed, compatible forms one, without combining marks.
+
+    Texts of plain ASCII without references don't leave the JVM.
+    """
+    odd = F.when(_c(value).rlike("&|[^\\x00-\\x7F]"), _c(value))
+    return F.coalesce(_folded(odd), F.lower(without_tags(value)))
 
 
 def contains_any(value: Column, needles: list[str]) -> Column:

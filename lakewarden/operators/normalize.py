@@ -46,17 +46,15 @@ def source_type(name: Column | str) -> Column:
     return out
 
 
-def event_rows(telemetry: DataFrame) -> DataFrame:
-    """Flat events, each once: placeholders to null, quotes round commands dropped, severity and category in lower case.
+def event_columns(telemetry: DataFrame) -> DataFrame:
+    """Flat events, copies included: placeholders to null, quotes round commands dropped, severity and category in lower case.
 
-    Adds details_text, the details as JSON with sorted keys, for needles in any detail.
+    Adds details_text, the details as JSON with sorted keys, in lower
+    case, for needles in any detail.
     """
     d = "details."
-    # Deliveries of an event differ in line_no and ingested_at; the first line stands for it.
-    first = Window.partitionBy("event_id").orderBy("line_no")
-    once = telemetry.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
     details = F.to_json(F.struct(*[F.col(d + c).alias(c) for c in ("command", "log_source", "raw", "severity", "source_summary")]), {"ignoreNullFields": "false"})
-    return once.select(
+    return telemetry.select(
         "event_id", "incident_id", "line_no", F.coalesce(present("event_type"), F.lit("unknown")).alias("event_type"), F.lower(present("category")).alias("category"),
         "timestamp", present("source_type").alias("source_type"), present("source_ip").alias("source_ip"), present("dest_ip").alias("dest_ip"), present("username").alias("username"),
         strip_quotes(present(d + "command")).alias("command"), F.lower(present(d + "severity")).alias("severity"), present(d + "log_source").alias("log_source"),
@@ -64,6 +62,23 @@ def event_rows(telemetry: DataFrame) -> DataFrame:
     )
 
 
+def once(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows that are alike in ``keys``; those whose first key is null all stay, spread over the tasks."""
+    own = F.when(F.col(keys[0]).isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("_own", own).dropDuplicates([*keys, "_own"]).drop("_own")
+
+
+def event_rows(telemetry: DataFrame) -> DataFrame:
+    """event_columns() with each event once: its first line stands for all of its deliveries.
+
+    Events without an id are events of their own.  What only asks whether there is an event, or
+    has few rows left, does better with event_columns() and once().
+    """
+    own = F.when(F.col("event_id").isNull(), F.xxhash64("incident_id", "line_no"))
+    first = Window.partitionBy("event_id", own).orderBy("line_no")
+    return event_columns(telemetry.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1))
+
+
 def pick(record: str, names: list[str]) -> Column:
     """The first present value among the keys ``names`` of a MAP<STRING, STRING> column."""
     return first_present(*[F.try_element_at(F.col(record), F.lit(n)) for n in names])

@@ -26,6 +26,11 @@ def events(spark: SparkSession, root: str) -> DataFrame:
     return normalize.event_rows(table(spark, root, "telemetry"))
 
 
+def deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """Events with all of their deliveries: enough to ask whether there is one, without a shuffle."""
+    return normalize.event_columns(table(spark, root, "telemetry"))
+
+
 def catalog(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     """The action catalog; a catalog of more than 5000 actions is refused."""
     rows = bounded_rows(table(spark, root, "action_catalog").select("action_id", "requires_approval"), 5000)
@@ -153,10 +158,10 @@ def path_relativize(spark, root):
     return table(spark, root, "telemetry").where("details.command is not null").select("event_id", normalize.relative_path("details.command", "Ledger").alias("path")).distinct()
 
 
-@query("SELECT c.action_id, coalesce(h.approval_seen, c.requires_approval) AS approval FROM action_catalog c LEFT JOIN (SELECT action_id, bool_or(approval) AS approval_seen FROM human_actions WHERE action_id LIKE 's%' GROUP BY 1) h USING (action_id)")
+@query("SELECT c.action_id, coalesce(h.approval_seen, c.requires_approval) AS approval FROM action_catalog c LEFT JOIN (SELECT action_id, bool_or(approval) AS approval_seen FROM human_actions GROUP BY 1) h USING (action_id)")
 def lookup_refresh_names(spark, root):
     """Values of a lookup replace those of a table where it has them."""
-    seen = table(spark, root, "human_actions").where("action_id like 's%'").groupBy("action_id").agg(F.bool_or("approval").alias("seen"))
+    seen = table(spark, root, "human_actions").groupBy("action_id").agg(F.bool_or("approval").alias("seen"))
     return table(spark, root, "action_catalog").join(seen, "action_id", "left").select("action_id", F.coalesce("seen", "requires_approval").alias("approval"))
 
 
@@ -181,7 +186,7 @@ _MANDATORY = [r for r in RULES if r.kind == "mandatory"]
 
 def scope_hits(spark: SparkSession, root: str) -> DataFrame:
     marks = F.array_compact(F.array(*[F.when(enforce.scope_predicate(r.scope), r.rule_id) for r in _MANDATORY]))
-    return events(spark, root).select("event_id", "incident_id", F.explode(marks).alias("rule_id"))
+    return normalize.once(deliveries(spark, root).select("event_id", "incident_id", F.explode(marks).alias("rule_id")), "event_id", "rule_id")
 
 
 @query(f"WITH {_SCOPED} SELECT event_id, rule_id FROM hit")
@@ -191,14 +196,14 @@ def scope_match_events(spark, root):
 
 @query(f"WITH {_SCOPED} SELECT DISTINCT incident_id, rule_id FROM hit")
 def scope_match_incidents(spark, root):
-    return enforce.scope_flags(events(spark, root), RULES).select("incident_id", F.explode("matched").alias("rule_id"))
+    return enforce.scope_flags(deliveries(spark, root), RULES).select("incident_id", F.explode("matched").alias("rule_id"))
 
 
 @query(f"WITH {S.EVENTS} SELECT incident_id, bool_or({S.has_any('lower(event_type)', ['beacon', 'sweep'])} AND {S.has_all('lower(coalesce(command, chr(32)))', ['shift'])}) AS indicator FROM ev GROUP BY 1")
 def legacy_indicator(spark, root):
     """Any event-type needle and all command needles; no event-type needle is no indicator."""
     hit = text.contains_any(F.lower("event_type"), ["beacon", "sweep"]) & text.contains_all(F.lower(F.coalesce("command", F.lit(" "))), ["shift"])
-    return events(spark, root).groupBy("incident_id").agg(F.bool_or(hit).alias("indicator"))
+    return deliveries(spark, root).groupBy("incident_id").agg(F.bool_or(hit).alias("indicator"))
 
 
 @query(f"WITH {S.CLEANED}, c AS (SELECT list(action_id) AS known FROM action_catalog) SELECT run_id, array_to_string(list_filter(llm_actions, lambda a: list_contains(known, a)), ',') AS kept FROM cleaned, c")
@@ -233,19 +238,6 @@ def rule_cycle_check(spark, root):
     return spark.createDataFrame([(a, depth(a), False) for a in needs], "action string, depth int, cyclic boolean")
 
 
-@query("""WITH e AS (SELECT incident_id, count(DISTINCT event_id) AS events FROM telemetry GROUP BY 1),
-a AS (SELECT incident_id, count(*) AS actions, count(*) FILTER (approval IS NULL) AS na FROM (SELECT DISTINCT * FROM human_actions) GROUP BY 1)
-SELECT incident_id, coalesce(events, 0) AS events, coalesce(actions, 0) AS actions, array_to_string(list_filter([CASE WHEN coalesce(events, 0) = 0 THEN 'no_events' END, CASE WHEN coalesce(actions, 0) = 0 THEN 'no_actions' END,
-  CASE WHEN coalesce(na, 0) > 0 THEN 'approval_missing' END, CASE WHEN NOT coalesce(severity IN ('low', 'medium', 'high', 'critical'), false) THEN 'bad_severity' END], lambda x: x IS NOT NULL), ',') AS issues
-FROM (SELECT DISTINCT * FROM incident_meta) LEFT JOIN e USING (incident_id) LEFT JOIN a USING (incident_id)""")
-def incident_validation(spark, root):
-    """Checks of incidents against their events and actions, without those of their windows: incident_validation_whole has all."""
-    meta = table(spark, root, "incident_meta").distinct().withColumns({"s": F.lit(0), "e": F.lit(1)})
-    ev = table(spark, root, "telemetry").select("incident_id", "event_id").distinct()
-    out = audit.incident_issues(meta, table(spark, root, "human_actions").distinct(), ev, "s", "e")
-    return out.select("incident_id", "events", "actions", joined("issues").alias("issues"))
-
-
 _WINDOWS = "SELECT row_id, 's' AS side, time_window_start AS value, reporting_source AS src FROM m UNION ALL SELECT row_id, 'e', time_window_end, reporting_source FROM m"
 
 
@@ -257,7 +249,7 @@ SELECT incident_id, coalesce(events, 0) AS events, coalesce(actions, 0) AS actio
   CASE WHEN coalesce(na, 0) > 0 THEN 'approval_missing' END, CASE WHEN NOT coalesce(severity IN ('low', 'medium', 'high', 'critical'), false) THEN 'bad_severity' END,
   CASE WHEN e < s THEN 'window_reversed' END, CASE WHEN s IS NULL OR e IS NULL THEN 'no_window' END], lambda x: x IS NOT NULL), ',') AS issues
 FROM m JOIN i USING (row_id) LEFT JOIN v USING (incident_id) LEFT JOIN a USING (incident_id)""")
-def incident_validation_whole(spark, root):
+def incident_validation(spark, root):
     """All checks of incidents: against their events and actions, and of the instants of their windows."""
     zones = source_zones(table(spark, root, "log_sources"))
     meta = table(spark, root, "incident_meta").distinct()
@@ -275,8 +267,9 @@ def null_audit_counts(spark, root):
 _PII_SQL = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, line_no, 'email' AS kind, nullif(regexp_extract(line, '{text.EMAIL}'), '') AS value FROM l
 UNION ALL SELECT doc_id, line_no, 'ipv4', nullif(regexp_extract(line, '{text.IPV4}'), '') FROM l
+UNION ALL SELECT doc_id, line_no, 'phone', CASE WHEN contains(lower(line), 'sha256') AND len(list_filter(regexp_extract_all(line, '{text.HEX_HASH}'), lambda h: contains(h, regexp_extract(line, '{text.PHONE}')))) > 0 THEN NULL ELSE nullif(regexp_extract(line, '{text.PHONE}'), '') END FROM l
 {' '.join(f"UNION ALL SELECT doc_id, line_no, 'term', CASE WHEN contains(lower(line), '{t}') THEN '{t}' END FROM l" for t in TERMS)})
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kind, value FROM h WHERE value IS NOT NULL AND NOT (kind = 'email' AND regexp_matches(value, '^user_[0-9]+@masked\.local$')) AND NOT (kind = 'ipv4' AND starts_with(value, '10.255.'))"""
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kind, value FROM h WHERE value IS NOT NULL AND NOT (kind = 'email' AND regexp_matches(value, '^user_[0-9]+@masked\.local$')) AND NOT (kind = 'ipv4' AND starts_with(value, '10.255.')) AND NOT (kind = 'phone' AND regexp_matches(value, '^<phone_[0-9]+>$'))"""
 
 
 @query(_PII_SQL)
@@ -363,7 +356,9 @@ _CAND = _technique_sql()
 
 
 def found_techniques(spark: SparkSession, root: str) -> DataFrame:
-    return matching.candidates(events(spark, root).select("event_id", "incident_id", "event_type", "command", "category", "source_type"), TECHNIQUES)
+    """Candidates are few beside the events, so deliveries of an event are told apart among them."""
+    asked = deliveries(spark, root).select("event_id", "incident_id", "event_type", "command", "category", "source_type")
+    return normalize.once(matching.candidates(asked, TECHNIQUES), "event_id", "rule_id")
 
 
 @query(f"WITH {_CAND} SELECT event_id, rule_id, score FROM cand")
@@ -435,7 +430,7 @@ def semi_scope(spark, root):
 @query(f"WITH {_SCOPED}, {S.RUNS} SELECT DISTINCT run_id, rule_id FROM runs JOIN hit USING (incident_id) WHERE NOT coalesce(list_contains(llm_actions, CASE rule_id WHEN 'Q1' THEN 'snapshot_memory' WHEN 'Q2' THEN 'notify_data_owner' ELSE 'isolate_everything' END), false)")
 def anti_missing_mandatory(spark, root):
     """Mandatory actions that are due in a run's incident and absent from its plan."""
-    due = enforce.scope_flags(events(spark, root), RULES).select("incident_id", F.explode("matched").alias("rule_id"))
+    due = enforce.scope_flags(deliveries(spark, root), RULES).select("incident_id", F.explode("matched").alias("rule_id"))
     rule = F.create_map(*[x for r in _MANDATORY for x in (F.lit(r.rule_id), F.lit(r.action))])
     plans = latest_copy(table(spark, root, "verifier_output").select("run_id", "incident_id", "llm_actions"), "run_id")
     out = plans.join(due, "incident_id")
@@ -522,7 +517,7 @@ def catalog_provenance(spark, root):
 @query(f"WITH {_SCOPED}, {S.CLEANED} SELECT rule_id, count(DISTINCT incident_id) AS incidents FROM hit GROUP BY 1 UNION ALL SELECT 'Q' || i, count(DISTINCT incident_key) FROM cleaned, (VALUES (3, 'reimage_endpoint'), (4, 'snapshot_memory'), (5, 'rejoin_network'), (6, 'quarantine_endpoint'), (7, 'suspend_account'), (8, 'snapshot_memory')) r(i, a) WHERE list_contains(human_actions, a) GROUP BY 1")
 def rule_applicability(spark, root):
     """In how many incidents a rule can apply: mandatory rules by scope, others by the action in the human plan."""
-    by_scope = enforce.scope_flags(events(spark, root), RULES).select(F.explode("matched").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("incidents"))
+    by_scope = enforce.scope_flags(deliveries(spark, root), RULES).select(F.explode("matched").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("incidents"))
     named = F.array_compact(F.array(*[F.when(F.array_contains("human_actions", r.action), r.rule_id) for r in RULES if r.kind != "mandatory"]))
     by_plan = runs(spark, root).select("incident_key", F.explode(named).alias("rule_id")).groupBy("rule_id").agg(F.count_distinct("incident_key").alias("incidents"))
     return by_scope.unionByName(by_plan)
@@ -785,14 +780,8 @@ def dedupe_keep_first(spark, root):
     return runs(spark, root).select("run_id", F.array_join(F.array_distinct("llm_actions"), ",").alias("plan"))
 
 
-@query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 5")
-def topk_count_desc(spark, root):
-    """The five most frequent sources: count_desc_whole has all of them."""
-    return table(spark, root, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(5)
-
-
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source NULLS FIRST")
-def count_desc_whole(spark, root):
+def topk_count_desc(spark, root):
     return table(spark, root, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
 
 
@@ -887,7 +876,7 @@ def _enforce_sql(rules, defer: str = "false", scoped: bool = True, plan: str = "
 
 def enforced(spark: SparkSession, root: str, rules, defer: Column | bool = False, scoped: bool = True) -> DataFrame:
     v = latest_copy(table(spark, root, "verifier_output"), "run_id").select("run_id", F.coalesce(F.nullif("incident_dir_id", F.lit("")), "incident_id").alias("incident_id"), F.col("llm_actions").alias("plan"), F.col("incident_approved_actions").alias("approved"), F.coalesce(F.nullif("approval_policy_mode", F.lit("")), F.lit("remove")).alias("approval_policy_mode"))
-    v = v.join(enforce.scope_flags(events(spark, root), rules), "incident_id", "left") if scoped else v.withColumn("matched", F.array().cast("array<string>"))
+    v = v.join(enforce.scope_flags(deliveries(spark, root), rules), "incident_id", "left") if scoped else v.withColumn("matched", F.array().cast("array<string>"))
     return enforce.enforce(v, rules, catalog(spark, root), defer=defer)
 
 
@@ -973,8 +962,9 @@ def action_surface(spark, root):
 # --- Scalars -----------------------------------------------------------------------------------
 
 
-@query(rf"SELECT doc_id, sha256(translate(lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\x{{0B}}\x{{A0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))), '{text.ACCENTED}', '{text.PLAIN}')) AS form FROM documents WHERE text IS NOT NULL")
+@query()
 def normalize_for_match(spark, root):
+    """SQL has neither references nor compatible forms; the tests hold it against a plain version."""
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.sha2(text.match_form("text"), 256).alias("form"))
 
 
@@ -1040,13 +1030,13 @@ def incident_from_path(spark, root):
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.nullif(F.regexp_extract("text", "INC_[A-Z]+_[0-9]+", 0), F.lit("")).alias("incident"))
 
 
-@query(rf"""WITH h AS (SELECT doc_id, incident_id, unnest(regexp_extract_all(text, '{text.IPV4}')) AS v, unnest(range(0, len(regexp_extract_all(text, '{text.IPV4}')))) AS p FROM documents),
+@query(rf"""WITH h AS (SELECT doc_id, coalesce(incident_id, 'document ' || doc_id) AS incident_id, unnest(regexp_extract_all(text, '{text.IPV4}')) AS v, unnest(range(0, len(regexp_extract_all(text, '{text.IPV4}')))) AS p FROM documents),
 n AS (SELECT incident_id, v, row_number() OVER (PARTITION BY incident_id ORDER BY m, v) AS k FROM (SELECT incident_id, v, min((doc_id, p)) AS m FROM h GROUP BY 1, 2)),
-t AS (SELECT doc_id, list('ip_' || k ORDER BY p) AS names FROM h JOIN n ON n.v = h.v AND n.incident_id IS NOT DISTINCT FROM h.incident_id GROUP BY 1),
+t AS (SELECT doc_id, list('ip_' || k ORDER BY p) AS names FROM h JOIN n ON n.v = h.v AND n.incident_id = h.incident_id GROUP BY 1),
 c AS (SELECT doc_id, string_split_regex(text, '{text.IPV4}') AS parts, coalesce(names, []) AS names FROM documents LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL)
 SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(names[i], '')), '')) AS masked FROM c""")
 def mask_pii_tokens(spark, root):
-    """Addresses as numbers that count from 1 in every incident."""
+    """Addresses as numbers that count from 1 in every incident; documents without one count on their own."""
     d = table(spark, root, "documents").where("text is not null").select("doc_id", "incident_id", "text")
     return audit.mask_numbered(d, "doc_id", "incident_id", "doc_id", "text", text.IPV4, "ip_", "m").select("doc_id", F.sha2("m", 256).alias("masked"))
 
@@ -1084,7 +1074,7 @@ def model_label(spark, root):
 @query(f"WITH {S.EVENTS}, x AS (SELECT ev.event_id, lower(coalesce(t.details.command, '') || ' ' || coalesce(t.details.raw, '') || ' ' || coalesce(t.details.source_summary, '')) AS d FROM ev JOIN telemetry t ON t.event_id = ev.event_id AND t.line_no = ev.line_no AND t.incident_id = ev.incident_id) SELECT event_id FROM x WHERE contains(d, 'keymole') OR contains(d, 'netpeek')")
 def details_text_contains(spark, root):
     """Events any of whose details holds one of the needles."""
-    return events(spark, root).where(text.contains_any(F.col("details_text"), ["keymole", "netpeek"])).select("event_id")
+    return normalize.once(deliveries(spark, root).where(text.contains_any(F.col("details_text"), ["keymole", "netpeek"])).select("event_id"), "event_id")
 
 
 @query(f"WITH {_CAND} SELECT technique_id, round(score, 3) AS score, count(*) AS n FROM cand GROUP BY 1, 2")
@@ -1121,15 +1111,8 @@ def human_actions_from_tasks(spark, root):
     return matching.actions_from_texts(matching.ranked_rules(d, "t", TEXT_RULES), "incident_id", ["doc_id"], "snapshot_memory")
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') AS redacted, CASE WHEN regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') THEN '[note withheld]' ELSE left(text, 80) END AS note FROM documents WHERE text IS NOT NULL")
-def redact_contact_notes(spark, root):
-    """Notes that name a person are withheld, the others cut to 80 characters: redact_contact_notes_whole has all of them."""
-    hit = F.lower("text").rlike("user_[0-9]+|analyst_[0-9]+")
-    return table(spark, root, "documents").where("text is not null").select("doc_id", hit.alias("redacted"), F.when(hit, "[note withheld]").otherwise(F.substring("text", 1, 80)).alias("note"))
-
-
 @query("SELECT doc_id, regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') AS redacted, CASE WHEN regexp_matches(lower(text), 'user_[0-9]+|analyst_[0-9]+') THEN '[note withheld]' ELSE text END AS note FROM documents WHERE text IS NOT NULL")
-def redact_contact_notes_whole(spark, root):
+def redact_contact_notes(spark, root):
     """Notes that name a person are withheld, the others are given whole."""
     hit = F.lower("text").rlike("user_[0-9]+|analyst_[0-9]+")
     return table(spark, root, "documents").where("text is not null").select("doc_id", hit.alias("redacted"), F.when(hit, "[note withheld]").otherwise(F.col("text")).alias("note"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +19,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, for checkpoints and cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests,
-    a single machine) a local folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``; without it, a cluster's jobs are refused.  Only on
+    a single machine (tests) a folder is made for the application, and removed at its end.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if conf is None and jsc.getCheckpointDir().isEmpty():
-        conf = os.path.join(tempfile.gettempdir(), "lakewarden-checkpoints")
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf or jsc.getCheckpointDir().get()
+    context = spark.sparkContext
+    there = context._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("a cluster has to name a folder that all executors share in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="lakewarden-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,8 +52,9 @@ def bounded_rows(df: DataFrame, most: int) -> list | None:
 
 
 def latest_copy(df: DataFrame, key: str) -> DataFrame:
-    """One row per ``key``; copies of a record are alike in content, so any one will do."""
-    return df.dropDuplicates([key])
+    """One row per ``key``; copies of a record are alike in content, so any one will do.  Rows without a key all stay."""
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_own", own).dropDuplicates([key, "_own"]).drop("_own")
 
 
 def with_file_key(df: DataFrame, pattern: str, name: str = "incident_id") -> DataFrame:

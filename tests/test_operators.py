@@ -1,7 +1,11 @@
 """Operators against loop models, known values and edge cases."""
 
+import html
 import math
 import random
+import re
+import unicodedata
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from lakewarden.functions import stats, text
 from lakewarden.functions.present import present, strip_quotes
 from lakewarden.operators import analysis, audit, matching, normalize, stability
 from lakewarden.operators.enforce import Rule, check_rules, enforce, scope_flags
+from lakewarden.operators.nested import node_rows
 from lakewarden.sources import records, sinks
 from lakewarden.sources.tables import bounded_rows, cut, shared_dir
 from lakewarden.streaming.flows import scope_stream, session_stream
@@ -289,3 +294,100 @@ def test_session_stream(spark, tmp_path):
     rules = [Rule("1", "mandatory", "a", scope={"event_type_contains": ["x"]})]
     static = spark.createDataFrame([("xx", None, None, None, None)], "event_type string, category string, command string, severity string, details_text string")
     assert scope_stream(static, rules).first().matched == ["1"]
+
+
+def plain_form(t):
+    t = " ".join(re.sub("<[^>]+>", " ", html.unescape(t)).lower().split())
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+
+
+def test_match_form_against_plain_python(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    texts += ["Caf&eacute; &amp; Łódź Őrs", "&lt;b&gt; x", "½ ﬁn … №5 ™", "İstanbul\xa0 ẞ", "", None, "a < b > c", "plain  ASCII\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.match_form("t").alias("f")).collect()
+    assert {r.i: r.f for r in rows} == {i: None if t is None else plain_form(t) for i, t in enumerate(texts)}
+
+
+def plain_sanitized(rows, terms):
+    """rows: (id, key, text) in order; the steps one after another over a key's texts, with names in order of first appearance."""
+    names, out = defaultdict(dict), {}
+    made = {"m": lambda n: f"user_{n:04d}@masked.local", "i": lambda n: f"10.255.{(n - 1) // 250 + 1}.{(n - 1) % 250 + 1}", "p": lambda n: f"<phone_{n:04d}>"}
+    for i, key, t in sorted(rows):
+        for term, instead in terms.items() if t is not None else ():
+            t = re.sub(rf"\b{re.escape(term)}\b", instead, t, flags=re.I)
+        out[i] = t
+    for kind, pattern in (("m", text.EMAIL), ("i", text.IPV4), ("p", text.PHONE)):
+        for i, key, _ in sorted(rows):
+            own = names[(key if key is not None else f"row {i}"), kind]
+            if out[i] is not None:
+                out[i] = re.sub(pattern, lambda m, own=own, kind=kind: own.setdefault(m[0], made[kind](len(own) + 1)), out[i], flags=re.A)
+    for i, t in out.items():
+        if t is not None:
+            out[i] = re.sub(text.POSIX_USER, r"\1user_home", re.sub(text.WINDOWS_USER, r"\1user_home", t))
+    return out
+
+
+def test_sanitize_against_plain_python(spark):
+    rng = random.Random(4)
+    pieces = ["a.b@x.org", "c@y.com", "8.8.8.8", "1.1.1.1", "+55 (11) 91234-5678", "4004 (11) 12345678", "call Acme now", "ACME", "acmeish", r"C:\Users\joe\x", "/home/ann/f /Users/Bo", "10.0.0.300", "$1 \\ 5", "", "1.2.3.4.5"]
+    rows = [(i, rng.choice(["k1", "k2", None]), " ".join(rng.choices(pieces, k=rng.randrange(7)))) for i in range(120)] + [(900, "k1", None), (901, None, "8.8.8.8 8.8.8.8")]
+    rows += [(1000 + i, "many", f"10.1.{i // 200}.{i % 200} 9.9.9.9") for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, t string").repartition(5)
+    got = {r.i: r.s for r in audit.sanitize(df, "i", "k", "i", "t", {"acme": "the firm"}, "s").collect()}
+    assert got == plain_sanitized(rows, {"acme": "the firm"})
+    assert got[901] == "10.255.1.1 10.255.1.1" and "10.255.3." in got[1500]
+    tokens = audit.first_seen_tokens(spark.createDataFrame([("k", n, f"v{n * 7 % 50}") for n in range(500)], "k string, n bigint, v string"), "k", "n", "v", span=9)
+    assert {(r.v, r.token) for r in tokens.collect()} == {(f"v{n * 7 % 50}", n + 1) for n in range(50)}
+
+
+def test_sanitize_nested_values(spark):
+    doc = '{"mail":"a@b.org","n":5,"list":[{"ip":"8.8.8.8","deep":{"er":["a@b.org and c@d.org"]}}]}'
+    df = spark.createDataFrame([(1, doc), (2, '{"mail":"c@d.org"}')], "id bigint, doc string")
+    rows = node_rows(df, "id", ["doc"]).withColumns({"k": F.lit("k"), "row": F.concat_ws("/", "owner_id", "group_path", "node_path")})
+    rows = rows.withColumn("n", F.col("owner_id") * 10 + F.length("node_path"))
+    got = {r.row: r.fields for r in audit.sanitize_values(rows, "row", "k", "n", {}).collect()}
+    assert got == {
+        "1/doc/": {"mail": "user_0001@masked.local", "n": "5"}, "1/doc.list[]/doc.list[0]": {"ip": "10.255.1.1"},
+        "1/doc.list[].deep.er[]/doc.list[0].deep.er[0]": {"value": "user_0001@masked.local and user_0002@masked.local"}, "2/doc/": {"mail": "user_0002@masked.local"},
+    }
+
+
+def test_personal_data_kinds(spark):
+    digest = "ab12345678901234567890123456789012"
+    rows = [(1, "call +55 11 91234-5678 or <phone_0001>"), (2, f"sha256 {digest}"), (3, f"sum {digest}"), (4, "in /tmp/workbench of bigbank Bank.")]
+    found = audit.personal_data(spark.createDataFrame(rows, "d int, t string"), "d", "t", terms=["bank"], markers=["workbench"], whole_words=True)
+    got = {(r.d, r.kind, r.value) for r in found.collect()}
+    assert got == {(1, "phone", "+55 11 91234-5678"), (3, "phone", re.search(text.PHONE, digest)[0]), (4, "term", "bank"), (4, "marker", "workbench")}
+
+
+def test_records_without_a_key_all_stay(spark, small):
+    from lakewarden.sources.tables import latest_copy
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b"), (None, "c")], "k int, v string")
+    assert sorted(str(r.k) for r in latest_copy(df, "k").collect()) == ["1", "None", "None", "None"]
+    events = spark.read.parquet(f"{small}/telemetry.parquet").limit(50).withColumn("event_id", F.lit(None).cast("bigint"))
+    assert normalize.event_rows(events).count() == 50
+
+
+def test_a_cluster_has_to_name_the_shared_folder(monkeypatch):
+    from lakewarden.sources import tables
+
+    class Fake:
+        master = "spark://there:7077"
+        sparkContext = property(lambda self: self)
+        _jsc = property(lambda self: self)
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Fake())

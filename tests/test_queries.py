@@ -13,7 +13,7 @@ def db(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, small, db, name):
     compare(spark, small, db, QUERIES[name], ORACLE[name])
 
