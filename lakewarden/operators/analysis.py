@@ -37,6 +37,15 @@ def label() -> Column:
     return F.concat_ws("|", base, F.when(F.col("approval_policy_mode") != "remove", F.col("approval_policy_mode")))
 
 
+# The types of violations and what enforcement does to a plan for each.
+MENDED = {"missing_mandatory": "inserted_count", "approval_required": "removed_count", "approval_deferred": "deferred_count", "order_violation": "reordered_count"}
+
+
+def _having(name: str, value: str) -> Column:
+    """How many violations have ``value`` in a field."""
+    return F.size(F.filter("violations", lambda v: v[name] == value)).cast("bigint")
+
+
 def run_rows(verifier: DataFrame) -> DataFrame:
     """One flat row per run: each run once, legacy mode names and deployment spellings unified, metrics from its lists."""
     name = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")) for c in ("incident_type", "severity", "asset_criticality")}
@@ -61,6 +70,8 @@ def run_rows(verifier: DataFrame) -> DataFrame:
         label().alias("model_label"), "violations", "llm_actions", "human_actions", "enforced_actions",
         F.size("violations").cast("bigint").alias("violation_count"),
         F.size(F.filter("violations", lambda v: v["severity"] == "hard")).cast("bigint").alias("hard_violation_count"),
+        *[_having("severity", level).alias(f"{level}_violation_count") for level in ("soft", "warning")],
+        *[_having("type", kind).alias(name) for kind, name in MENDED.items()],
         F.size("llm_actions").cast("bigint").alias("llm_action_count"), F.size("human_actions").cast("bigint").alias("human_action_count"), F.size("enforced_actions").cast("bigint").alias("enforced_action_count"),
         F.size(F.array_except("llm_actions", "human_actions")).cast("bigint").alias("llm_only_action_count"), F.size(F.array_except("human_actions", "llm_actions")).cast("bigint").alias("human_only_action_count"),
         F.coalesce("llm_usage.prompt_tokens", F.lit(0)).alias("prompt_tokens"), F.coalesce("llm_usage.completion_tokens", F.lit(0)).alias("completion_tokens"), F.coalesce("llm_usage.total_tokens", F.lit(0)).alias("total_tokens"),
@@ -68,6 +79,7 @@ def run_rows(verifier: DataFrame) -> DataFrame:
         p1.alias("precision_raw"), r1.alias("recall_raw"), f1.alias("f1_raw"), j1.alias("jaccard_raw"),
         p2.alias("precision_enforced"), r2.alias("recall_enforced"), f2.alias("f1_enforced"), j2.alias("jaccard_enforced"),
     )
+    flat = flat.withColumn("modification_count", sum((F.col(c) for c in MENDED.values()), F.lit(0)).cast("bigint"))
     return flat.withColumns({"delta_jaccard": F.round(F.col("jaccard_enforced") - F.col("jaccard_raw"), 4), "coverage_delta": F.round(F.col("recall_enforced") - F.col("recall_raw"), 4)})
 
 
@@ -84,12 +96,13 @@ def latest_runs(rows: DataFrame) -> DataFrame:
 def by_model(rows: DataFrame) -> DataFrame:
     """Counts, sums, means and the violation rate with its interval, per model_label, in one aggregation."""
     violating = F.count_if(F.col("violation_count") > 0)
-    sums = ["violation_count", "hard_violation_count", "llm_only_action_count", "human_only_action_count", "prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"]
+    sums = ["violation_count", "hard_violation_count", "soft_violation_count", "warning_violation_count", *MENDED.values(), "modification_count", "llm_only_action_count", "human_only_action_count", "prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"]
     means = ["precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
     out = rows.groupBy("model_label").agg(
         F.count(F.lit(1)).alias("run_count"), violating.alias("runs_with_violations"),
         *[F.sum(c).alias(f"{c}_total") for c in sums], F.round(F.sum(F.col("cost_usd").cast("decimal(18,6)")), 4).cast("double").alias("cost_usd_total"),
         *[rounded(F.avg(c), 4).alias(f"{c}_avg") for c in means], F.count_if(F.col("coverage_delta") < 0).alias("coverage_drop_runs"),
+        F.count_if(F.col("modification_count") > 0).alias("modified_runs"),
     )
     low, high = wilson("runs_with_violations", "run_count")
     return out.withColumns({"violation_rate": rate("runs_with_violations", "run_count", 4), "ci_low": low, "ci_high": high})
@@ -164,6 +177,39 @@ def action_difference(rows: DataFrame, made: str, wanted: str) -> DataFrame:
     return rows.select(F.explode(F.array_except(made, wanted)).alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def select_profiles(registry: DataFrame, selectors: DataFrame | None = None) -> DataFrame:
+    """The models of a registry to run: the enabled ones, or one per row of ``selectors`` (selector).
+
+    A selector means the first model (by name) with that name or deployment, enabled or not; one that fits
+    none stands for itself, which ad_hoc tells.
+    """
+    if selectors is None:
+        return registry.where("enabled").select(F.col("name").alias("selector"), "name", "deployment", F.lit(False).alias("ad_hoc"))
+    keys = registry.select("name", "deployment", F.explode(F.array_distinct(F.array("name", "deployment"))).alias("selector"))
+    first = keys.groupBy("selector").agg(F.min_by(F.struct("name", "deployment"), F.struct("name", "deployment")).alias("_m"))
+    met = selectors.join(first, "selector", "left")
+    return met.select("selector", F.coalesce("_m.name", "selector").alias("name"), F.coalesce("_m.deployment", "selector").alias("deployment"), F.col("_m").isNull().alias("ad_hoc"))
+
+
+def grid(incidents: DataFrame, models: list[str], arms: list[str], repeats: int = 1) -> DataFrame:
+    """The cells of an experiment: incident_key, model, arm, repeat for every incident.
+
+    Models, arms and repeats are few and known, so each incident row makes its own cells: no join.
+    """
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("arm"), F.lit(r).alias("repeat")) for m in models for a in arms for r in range(1, repeats + 1)])
+    return incidents.select("incident_key", F.explode(cells).alias("_c")).select("incident_key", "_c.*")
+
+
+def outcomes(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each cell with its run (the k-th of its incident, model and arm is repeat k) and error: missing, empty_plan or null."""
+    order = Window.partitionBy("incident_key", "llm_deployment", "llm_arm").orderBy(F.coalesce("run_tag", F.lit("")), "run_id")
+    own = rows.where(F.col("llm_deployment").isNotNull() & F.col("llm_arm").isNotNull())
+    own = own.select("incident_key", F.col("llm_deployment").alias("model"), F.col("llm_arm").alias("arm"), F.row_number().over(order).alias("repeat"), "run_id", "llm_action_count")
+    met = cells.join(own, ["incident_key", "model", "arm", "repeat"], "left")
+    error = F.when(F.col("run_id").isNull(), "missing").when(F.col("llm_action_count") == 0, "empty_plan")
+    return met.select("incident_key", "model", "arm", "repeat", "run_id", error.alias("error"))
+
+
 def first_per(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row per ``keys``; a rank filter, so only the best row of each group is kept while sorting."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") == 1).drop("_rn")

@@ -94,6 +94,34 @@ def first_match(text: str, rules: list[TextRule]) -> Column:
     return out
 
 
+def parse_response(text: Column | str, key: str, known: list[str], fence_allowed: bool = False) -> Column:
+    """What a model's JSON answer recommends: STRUCT<error, actions, skipped>.
+
+    error: fenced, broken, no_object, no_key or no_list; null where the object has the list ``key``.
+    actions: the items that are ``known``, trimmed, each once in first order; skipped: the others, with
+    repeats.  A null text is broken.
+    """
+    text = F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(" \t\r\n"))
+    fenced = F.startswith(text, F.lit("```"))
+    if fence_allowed:
+        text = F.when(fenced, F.regexp_replace(text, r"(?m)^\s*```.*$", "")).otherwise(text)
+        fenced = F.lit(False)
+    parsed = F.try_parse_json(text)
+    there = F.array_contains(F.json_object_keys(text), key)
+    value = F.try_variant_get(parsed, f"$.{key}", "variant")
+    is_list = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+    error = (
+        F.when(fenced, "fenced").when(parsed.isNull(), "broken").when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "no_object")
+        .when(~F.coalesce(there, F.lit(False)), "no_key").when(~F.coalesce(is_list, F.lit(False)), "no_list")
+    )
+    items = F.transform(F.coalesce(F.when(error.isNull(), F.try_variant_get(value, "$", "array<string>")), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("None"))))
+    names = F.array(*[F.lit(k) for k in known]).cast("array<string>")
+    return F.struct(
+        error.alias("error"), F.array_distinct(F.filter(items, lambda x: F.array_contains(names, x))).alias("actions"),
+        F.filter(items, lambda x: ~F.array_contains(names, x)).alias("skipped"),
+    )
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key; the engine keeps only the best rows of a group while it sorts."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")

@@ -224,20 +224,6 @@ def validate_contiguous_order(spark, root):
     return audit.contiguous_order(table(spark, root, "human_actions").distinct(), "incident_id", "action_order")
 
 
-@query("""WITH RECURSIVE edge(a, b) AS (VALUES ('reimage_endpoint', 'snapshot_memory'), ('snapshot_memory', 'preserve_proxy_logs'), ('rejoin_network', 'revoke_sessions')),
-path(a, b, hops) AS (SELECT a, b, 1 FROM edge UNION ALL SELECT p.a, e.b, hops + 1 FROM path p JOIN edge e ON p.b = e.a WHERE hops < 10)
-SELECT a AS action, max(hops)::INTEGER AS depth, bool_or(a = b) AS cyclic FROM path GROUP BY 1""")
-def rule_cycle_check(spark, root):
-    """How deep each action's prerequisites go; the rule set is refused when it has a cycle."""
-    enforce.check_rules(RULES)
-    needs = {r.action: r.before for r in RULES if r.before}
-
-    def depth(a: str) -> int:
-        return 0 if a not in needs else 1 + depth(needs[a])
-
-    return spark.createDataFrame([(a, depth(a), False) for a in needs], "action string, depth int, cyclic boolean")
-
-
 _WINDOWS = "SELECT row_id, 's' AS side, time_window_start AS value, reporting_source AS src FROM m UNION ALL SELECT row_id, 'e', time_window_end, reporting_source FROM m"
 
 
@@ -283,13 +269,16 @@ def csv_list_parse(spark, root):
     return made.select("run_id", F.array_join(normalize.csv_items("s"), ";").alias("items"))
 
 
-@query("SELECT s.sel AS selector, coalesce(r.deployment, s.sel) AS deployment, r.name IS NULL AS ad_hoc FROM (VALUES ('atlas_chat'), ('borealis-2'), ('nobody')) s(sel) LEFT JOIN model_registry r ON r.name = s.sel OR r.deployment = s.sel")
+@query("""WITH s(selector) AS (SELECT DISTINCT lower(trim(llm_deployment)) FROM verifier_output WHERE trim(llm_deployment) <> '' UNION SELECT name FROM model_registry),
+r AS (SELECT s.selector, m.name, m.deployment, row_number() OVER (PARTITION BY s.selector ORDER BY m.name, m.deployment) AS rn FROM s LEFT JOIN model_registry m ON m.name = s.selector OR m.deployment = s.selector)
+SELECT selector, coalesce(name, selector) AS name, coalesce(deployment, selector) AS deployment, name IS NULL AS ad_hoc FROM r WHERE rn = 1
+UNION ALL SELECT 'enabled: ' || name, name, deployment, false FROM model_registry WHERE enabled""")
 def select_with_fallback(spark, root):
-    """Models by name or deployment; a selector without one stands for itself."""
-    r = table(spark, root, "model_registry")
-    keys = r.select("name", "deployment", F.explode(F.array_distinct(F.array("name", "deployment"))).alias("selector"))
-    wanted = spark.createDataFrame([("atlas_chat",), ("borealis-2",), ("nobody",)], "selector string")
-    return wanted.join(keys, "selector", "left").select("selector", F.coalesce("deployment", "selector").alias("deployment"), F.col("name").isNull().alias("ad_hoc"))
+    """Models by the names that runs and the registry use, the first that fits; and those that are enabled."""
+    registry = table(spark, root, "model_registry")
+    used = runs(spark, root).select(F.col("llm_deployment").alias("selector")).where("selector is not null").union(registry.select("name")).distinct()
+    enabled = analysis.select_profiles(registry).withColumn("selector", F.concat(F.lit("enabled: "), "selector"))
+    return analysis.select_profiles(registry, used).unionByName(enabled)
 
 
 _RULE_VALUES = ", ".join(f"('{r.rule_id}', '{r.kind}', '{r.action}', {'NULL' if r.before is None else chr(39) + r.before + chr(39)}, '{r.severity}')" for r in RULES)
@@ -299,6 +288,20 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.kind, r.action, r.before, r.severity) for r in RULES], "rule_id string, kind string, action string, before string, severity string")
 
 
+def _precedence(rules: str) -> str:
+    """How far each action's prerequisites reach in a table of rules (action, before), and whether back to it; a path ends where it closes."""
+    return f"""WITH RECURSIVE edge(a, b) AS (SELECT action, before FROM {rules} WHERE kind = 'prohibit_before' AND before IS NOT NULL),
+path(a, b, hops) AS (SELECT a, b, 1 FROM edge UNION ALL SELECT p.a, e.b, p.hops + 1 FROM path p JOIN edge e ON p.b = e.a WHERE p.a <> p.b AND p.hops < (SELECT count(*) FROM edge))
+SELECT a AS action, CAST(max(hops) AS INTEGER) AS depth, bool_or(a = b) AS cyclic FROM path GROUP BY a"""
+
+
+@query(_precedence(f"(VALUES {_RULE_VALUES}) r(rule_id, kind, action, before, severity)"))
+def rule_cycle_check(spark, root):
+    """Walks the order rules as a table; a rule set with a cycle is refused before it is used."""
+    enforce.check_rules(RULES)
+    return spark.sql(_precedence("{rules}"), rules=rule_table(spark))
+
+
 @query(f"WITH r(rule_id, kind, action, before, severity) AS (VALUES {_RULE_VALUES}) SELECT rule_id, action AS missing FROM r WHERE action NOT IN (SELECT action_id FROM action_catalog) UNION ALL SELECT rule_id, before FROM r WHERE before IS NOT NULL AND before NOT IN (SELECT action_id FROM action_catalog)")
 def rules_not_in_catalog(spark, root):
     named = rule_table(spark).select("rule_id", F.explode(F.array_compact(F.array("action", "before"))).alias("missing"))
@@ -563,11 +566,11 @@ def violation_rate_by_tactic(spark, root):
 
 _WILSON = "(k / n + 3.841458820694124 / (2 * n) {s} 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n)"
 _LOW, _HIGH = f"round(greatest(0.0, {_WILSON.format(s='-')}), 4)", f"round(least(1.0, {_WILSON.format(s='+')}), 4)"
-_SUMS = ["violation_count", "hard_violation_count", "llm_only_action_count", "human_only_action_count", "prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"]
+_SUMS = ["violation_count", "hard_violation_count", "soft_violation_count", "warning_violation_count", "inserted_count", "removed_count", "deferred_count", "reordered_count", "modification_count", "llm_only_action_count", "human_only_action_count", "prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"]
 _MEANS = ["precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
 
 
-@query(f"WITH {S.LATEST}, g AS (SELECT model_label, count(*) AS n, count(*) FILTER (violation_count > 0) AS k, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}_total' for c in _SUMS)}, CAST(round(sum(CAST(cost_usd AS DECIMAL(18, 6))), 4) AS DOUBLE) AS cost_usd_total, {', '.join(f'round(avg({c}) + sign(avg({c})) * 1e-9, 4) AS {c}_avg' for c in _MEANS)}, count(*) FILTER (coverage_delta < 0) AS coverage_drop_runs FROM latest GROUP BY 1) SELECT * EXCLUDE (n, k), n AS run_count, k AS runs_with_violations, {S.rate('k', 'n')} AS violation_rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM g")
+@query(f"WITH {S.LATEST}, g AS (SELECT model_label, count(*) AS n, count(*) FILTER (violation_count > 0) AS k, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}_total' for c in _SUMS)}, CAST(round(sum(CAST(cost_usd AS DECIMAL(18, 6))), 4) AS DOUBLE) AS cost_usd_total, {', '.join(f'round(avg({c}) + sign(avg({c})) * 1e-9, 4) AS {c}_avg' for c in _MEANS)}, count(*) FILTER (coverage_delta < 0) AS coverage_drop_runs, count(*) FILTER (modification_count > 0) AS modified_runs FROM latest GROUP BY 1) SELECT * EXCLUDE (n, k), n AS run_count, k AS runs_with_violations, {S.rate('k', 'n')} AS violation_rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM g")
 def by_model(spark, root):
     return analysis.by_model(analysis.latest_runs(runs(spark, root)))
 
@@ -619,7 +622,7 @@ def attack_candidates(spark, root):
     return found_techniques(spark, root).groupBy("technique_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("incident_id").alias("incidents"), F.round(F.avg("score"), 3).alias("score_avg"))
 
 
-_METRICS = ["run_id", "llm_only_action_count", "human_only_action_count", "precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
+_METRICS = ["run_id", "soft_violation_count", "warning_violation_count", "inserted_count", "removed_count", "deferred_count", "reordered_count", "modification_count", "llm_only_action_count", "human_only_action_count", "precision_raw", "recall_raw", "f1_raw", "jaccard_raw", "precision_enforced", "recall_enforced", "f1_enforced", "jaccard_enforced", "delta_jaccard", "coverage_delta"]
 
 
 @query(f"WITH {S.ROWS} SELECT {', '.join(_METRICS)} FROM rows_")
@@ -862,16 +865,31 @@ def _steps(rules, matched: str, defer: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def _enforce_sql(rules, defer: str = "false", scoped: bool = True, plan: str = "llm_actions") -> str:
-    flags = "matched AS (SELECT incident_id, list(DISTINCT rule_id) AS m FROM hit GROUP BY 1)" if scoped else "matched AS (SELECT NULL AS incident_id, CAST([] AS VARCHAR[]) AS m WHERE false)"
-    known = "cat AS (SELECT list(action_id) AS known, list(action_id) FILTER (WHERE requires_approval) AS gated FROM action_catalog)"
-    ctes = [f"WITH {(_SCOPED + ', ') if scoped else ''}{S.CLEANED}", flags, known, f"s0 AS (SELECT run_id, {plan} AS plan, approved, approval_policy_mode, coalesce(m, []) AS m, CAST([] AS VARCHAR[]) AS v, known, gated FROM cleaned LEFT JOIN matched ON matched.incident_id = cleaned.incident_key CROSS JOIN cat)"]
-    for k, (cond, new, told) in enumerate(_steps(rules, "m", defer), 1):
+_KNOWN = "cat AS (SELECT list(action_id) AS known, list(action_id) FILTER (WHERE requires_approval) AS gated FROM action_catalog)"
+_ONCE_EACH = "list_filter(list_transform(range(1, len(plan) + 1), lambda i: CASE WHEN list_position(plan, plan[i]) = i THEN plan[i] END), lambda x: x IS NOT NULL)"
+
+
+def _fold_sql(start: str, rules, defer: str, name: str = "s") -> tuple[list[str], str]:
+    """CTEs that take the plans of ``start`` (run_id, plan, approved, approval_policy_mode, m, known, gated) through all steps, and the last one's name."""
+    ctes = [f"{name}0 AS (SELECT run_id, plan, approved, approval_policy_mode, m, CAST([] AS VARCHAR[]) AS v, known, gated FROM ({start}))"]
+    steps = _steps(rules, "m", defer)
+    for k, (cond, new, told) in enumerate(steps, 1):
         v = f"CASE WHEN {cond} AND NOT list_contains(v, '{told}') THEN list_append(v, '{told}') ELSE v END" if told else "v"
-        ctes.append(f"s{k} AS MATERIALIZED (SELECT run_id, CASE WHEN {cond} THEN {new} ELSE plan END AS plan, approved, approval_policy_mode, m, {v} AS v, known, gated FROM s{k - 1})")
-    last = f"s{len(ctes) - 4}"
-    first = "list_filter(list_transform(range(1, len(plan) + 1), lambda i: CASE WHEN list_position(plan, plan[i]) = i THEN plan[i] END), lambda x: x IS NOT NULL)"
-    return ", ".join(ctes) + f" SELECT run_id, array_to_string({first}, ',') AS enforced, array_to_string(v, ';') AS found FROM {last}"
+        ctes.append(f"{name}{k} AS MATERIALIZED (SELECT run_id, CASE WHEN {cond} THEN {new} ELSE plan END AS plan, approved, approval_policy_mode, m, {v} AS v, known, gated FROM {name}{k - 1})")
+    return ctes, f"{name}{len(steps)}"
+
+
+def _enforce_sql(rules, defer: str = "false", scoped: bool = True, plan: str = "llm_actions", twice: bool = False) -> str:
+    flags = "matched AS (SELECT incident_id, list(DISTINCT rule_id) AS m FROM hit GROUP BY 1)" if scoped else "matched AS (SELECT NULL AS incident_id, CAST([] AS VARCHAR[]) AS m WHERE false)"
+    start = f"SELECT run_id, {plan} AS plan, approved, approval_policy_mode, coalesce(m, []) AS m, known, gated FROM cleaned LEFT JOIN matched ON matched.incident_id = cleaned.incident_key CROSS JOIN cat"
+    ctes, last = _fold_sql(start, rules, defer)
+    if twice:
+        again, end = _fold_sql(f"SELECT run_id, {_ONCE_EACH} AS plan, approved, approval_policy_mode, m, known, gated FROM {last}", rules, defer, "t")
+        ctes += again
+    head = f"WITH {(_SCOPED + ', ') if scoped else ''}{S.CLEANED}, " + ", ".join([flags, _KNOWN, *ctes])
+    if twice:
+        return f"{head}, both_ AS (SELECT s.plan AS one, t.plan AS two, t.v AS v FROM (SELECT run_id, {_ONCE_EACH} AS plan FROM {last}) s JOIN (SELECT run_id, {_ONCE_EACH} AS plan, v FROM {end}) t USING (run_id)) SELECT count(*) AS checked, count(*) FILTER (one <> two) AS changed, count(*) FILTER (len(list_filter(v, lambda x: NOT contains(x, 'approval_deferred'))) > 0) AS found_again FROM both_"
+    return f"{head} SELECT run_id, array_to_string({_ONCE_EACH}, ',') AS enforced, array_to_string(v, ';') AS found FROM {last}"
 
 
 def enforced(spark: SparkSession, root: str, rules, defer: Column | bool = False, scoped: bool = True) -> DataFrame:
@@ -926,12 +944,14 @@ def approval_pending(spark, root):
     return enforced(spark, root, _GATES, True, scoped=False).select("run_id", F.array_join(F.array_sort(F.array_distinct(deferred)), ",").alias("pending"))
 
 
-@query(f"SELECT count(*) AS checked, 0::BIGINT AS changed FROM ({_enforce_sql(RULES)})")
+@query(_enforce_sql(RULES, "approval_policy_mode = 'defer_to_human_approval'", twice=True))
 def enforce_idempotence(spark, root):
-    """Enforcing an enforced plan must change nothing that a rule may keep: without gated actions both plans are alike."""
-    once = enforced(spark, root, _ORDER, scoped=False)
-    twice = enforce.enforce(once.select("run_id", F.col("enforced").alias("plan"), "approved", "matched"), _ORDER, catalog(spark, root))
-    return twice.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.array_join("plan", ",") != F.array_join("enforced", ",")).alias("changed"))
+    """Enforced plans enforced once more with all rules: how many change, and in how many more is found than deferrals again."""
+    defer = F.col("approval_policy_mode") == "defer_to_human_approval"
+    once = enforced(spark, root, RULES, defer).select("run_id", F.col("enforced").alias("plan"), "approved", "matched", "approval_policy_mode")
+    twice = enforce.enforce(once, RULES, catalog(spark, root), defer=defer)
+    again = F.exists("found", lambda v: v["type"] != "approval_deferred")
+    return twice.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.array_join("plan", ",") != F.array_join("enforced", ",")).alias("changed"), F.count_if(again).alias("found_again"))
 
 
 @query("SELECT incident_id, string_agg(DISTINCT action_id, ',' ORDER BY action_id) AS approved FROM human_actions WHERE approval GROUP BY 1")
@@ -1129,12 +1149,48 @@ def replay_defer(spark, root):
     return told(enforced(spark, root, RULES, True))
 
 
-@query("SELECT * FROM (VALUES ('preserve_proxy_logs,snapshot_memory,reimage_endpoint', 2::BIGINT, 'reimage_endpoint'), ('preserve_proxy_logs,snapshot_memory', 1, 'snapshot_memory'), ('revoke_sessions,rejoin_network', 1, 'rejoin_network')) t(enforced, repairs, action)")
+def _probe_sql() -> str:
+    actions = ", ".join(f"('{r.action}', '{r.rule_id}')" for r in _ORDER)
+    start = f"SELECT incident_id || ' ' || rule_id AS run_id, [action] AS plan, coalesce(ok, []) AS approved, 'remove' AS approval_policy_mode, coalesce(m, []) AS m, known, gated FROM (SELECT DISTINCT incident_id FROM incident_meta WHERE incident_id IS NOT NULL) CROSS JOIN (VALUES {actions}) r(action, rule_id) LEFT JOIN (SELECT incident_id, list(DISTINCT action_id) AS ok FROM human_actions WHERE approval GROUP BY 1) a USING (incident_id) LEFT JOIN matched USING (incident_id) CROSS JOIN cat"
+    ctes, last = _fold_sql(start, RULES, "false")
+    return f"WITH {_SCOPED}, matched AS (SELECT incident_id, list(DISTINCT rule_id) AS m FROM hit GROUP BY 1), {_KNOWN}, {', '.join(ctes)} SELECT split_part(run_id, ' ', 2) AS rule_id, array_to_string({_ONCE_EACH}, ',') AS enforced, len(v) AS repairs, count(*) AS incidents FROM {last} GROUP BY ALL"
+
+
+@query(_probe_sql())
 def order_chain_probe(spark, root):
-    """A plan of nothing but a rule's action, for every order rule: how many repairs it sets off."""
-    probes = spark.createDataFrame([(r.action, [r.action]) for r in _ORDER], "action string, plan array<string>")
-    made = enforce.enforce(probes.withColumns({"matched": F.array().cast("array<string>"), "approved": F.array().cast("array<string>")}), _ORDER, catalog(spark, root))
-    return made.select("action", joined("enforced").alias("enforced"), F.size("found").cast("bigint").alias("repairs"))
+    """For every order rule and incident, a plan of nothing but the rule's action: what all rules make of it."""
+    probes = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.array(F.lit(r.action)).alias("plan")) for r in _ORDER]))
+    approved = table(spark, root, "human_actions").where("approval").groupBy("incident_id").agg(F.collect_set("action_id").alias("approved"))
+    own = table(spark, root, "incident_meta").select("incident_id").where("incident_id is not null").distinct()
+    own = own.join(approved, "incident_id", "left").join(enforce.scope_flags(deliveries(spark, root), RULES), "incident_id", "left")
+    made = enforce.enforce(own.select("incident_id", "approved", "matched", probes.alias("_p")).select("incident_id", "approved", "matched", "_p.*"), RULES, catalog(spark, root))
+    return made.groupBy("rule_id", joined("enforced").alias("enforced"), F.size("found").cast("bigint").alias("repairs")).agg(F.count(F.lit(1)).alias("incidents"))
+
+
+@query("""WITH t AS (SELECT DISTINCT event_id, details.raw AS raw FROM telemetry WHERE details.raw IS NOT NULL),
+j AS (SELECT event_id, raw, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS v FROM t),
+x AS (SELECT event_id, CASE WHEN starts_with(trim(raw), '```') THEN 'fenced' WHEN v IS NULL THEN 'broken' WHEN json_type(v) <> 'OBJECT' THEN 'no_object' WHEN NOT json_exists(v, '$.tags') THEN 'no_key' WHEN json_type(v->'tags') <> 'ARRAY' THEN 'no_list' END AS error,
+  CASE WHEN json_type(v) = 'OBJECT' AND json_type(v->'tags') = 'ARRAY' THEN list_transform(CAST(v->'tags' AS JSON[]), lambda y: trim(coalesce(y->>'$', 'None'))) ELSE [] END AS items FROM j)
+SELECT event_id, error, array_to_string(list_filter(list_transform(range(1, len(items) + 1), lambda i: CASE WHEN list_position(items, items[i]) = i THEN items[i] END), lambda y: y IN ('retest', 'night')), ',') AS actions,
+  array_to_string(list_filter(items, lambda y: y NOT IN ('retest', 'night')), ',') AS skipped FROM x""")
+def parse_responses(spark, root):
+    """JSON texts of mixed quality read as answers with a list: what is wrong with each, and the known and unknown items."""
+    raw = table(spark, root, "telemetry").select("event_id", F.col("details.raw").alias("raw")).where("raw is not null").distinct()
+    got = raw.select("event_id", matching.parse_response("raw", "tags", ["retest", "night"]).alias("p"))
+    return got.select("event_id", "p.error", joined("p.actions").alias("actions"), joined("p.skipped").alias("skipped"))
+
+
+@query(f"""WITH {S.ROWS}, cells AS (SELECT incident_id AS incident_key, deployment AS model, arm, rep FROM (SELECT DISTINCT incident_id FROM incident_meta WHERE incident_id IS NOT NULL), (SELECT deployment FROM model_registry WHERE enabled), (VALUES ('llm_zero'), ('llm_policy_prompt')) a(arm), (VALUES (1), (2)) r(rep)),
+o AS (SELECT *, row_number() OVER (PARTITION BY incident_key, llm_deployment, llm_arm ORDER BY coalesce(run_tag, ''), run_id) AS rep FROM rows_ WHERE llm_deployment IS NOT NULL AND llm_arm IS NOT NULL)
+SELECT c.model, c.arm, CASE WHEN o.run_id IS NULL THEN 'missing' WHEN llm_action_count = 0 THEN 'empty_plan' END AS error, count(*) AS n FROM cells c LEFT JOIN o ON o.incident_key = c.incident_key AND o.llm_deployment = c.model AND o.llm_arm = c.arm AND o.rep = c.rep GROUP BY 1, 2, 3""")
+def experiment_outcomes(spark, root):
+    """All incidents with every enabled model, both arms and two repeats: what ran, what is missing, what came back empty."""
+    models = bounded_rows(analysis.select_profiles(table(spark, root, "model_registry")).select("deployment"), 1000)
+    if models is None:
+        raise ValueError("more than 1000 models")
+    incidents = table(spark, root, "incident_meta").select(F.col("incident_id").alias("incident_key")).where("incident_key is not null").distinct()
+    cells = analysis.grid(incidents, [m[0] for m in models], list(analysis.ARMS), 2) if models else incidents.select("incident_key", *[F.lit(None).cast("string").alias(c) for c in ("model", "arm")], F.lit(1).alias("repeat")).limit(0)
+    return analysis.outcomes(cells, runs(spark, root)).groupBy("model", "arm", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _vendor(key: str) -> str:

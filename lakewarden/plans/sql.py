@@ -42,11 +42,15 @@ def _agreement(name: str, made: str) -> str:
     return f"{rate(b, m)} AS precision_{name}, {rate(b, w)} AS recall_{name}, {rate(b, f'{m} + {w} - {b}')} AS jaccard_{name}"
 
 
+_MENDED = (("missing_mandatory", "inserted_count"), ("approval_required", "removed_count"), ("approval_deferred", "deferred_count"), ("order_violation", "reordered_count"))
 ROWS = f"""{CLEANED},
 counted AS (
   SELECT *, concat_ws('|', CASE WHEN llm_deployment IS NOT NULL AND llm_arm IS NOT NULL THEN llm_deployment || '|' || llm_arm ELSE coalesce(llm_deployment, mode, 'unknown') END,
       CASE WHEN approval_policy_mode <> 'remove' THEN approval_policy_mode END) AS model_label,
     len(violations) AS violation_count, len(list_filter(violations, lambda v: v.severity = 'hard')) AS hard_violation_count,
+    {", ".join(f"len(list_filter(violations, lambda v: v.severity = '{x}')) AS {x}_violation_count" for x in ("soft", "warning"))},
+    {", ".join(f"len(list_filter(violations, lambda v: v.type = '{k}')) AS {n}" for k, n in _MENDED)},
+    len(list_filter(violations, lambda v: v.type IN ({", ".join(f"'{k}'" for k, _ in _MENDED)}))) AS modification_count,
     len(llm_actions) AS llm_action_count, len(human_actions) AS human_action_count, len(enforced_actions) AS enforced_action_count,
     len({minus("llm_actions", "human_actions")}) AS llm_only_action_count, len({minus("human_actions", "llm_actions")}) AS human_only_action_count,
     {_agreement("raw", "llm_actions")}, {_agreement("enforced", "enforced_actions")}
