@@ -123,9 +123,9 @@ def mask_numbered(df: DataFrame, row: str, key: str, order: str, text: str, patt
     hits = df.select(F.col(row).alias("_row"), F.struct(F.col(key).alias("a"), own.alias("b")).alias("_key"), F.col(order).alias("_order"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("_pos", "_value"))
     numbers = first_seen_tokens(hits, "_key", "_order", "_value", "_pos").select(F.col("_key").alias("_k"), F.col("_value").alias("_v"), name(F.col("token")).alias("_name"))
     named = hits.join(numbers, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_value") == F.col("_v"))).select("_row", "_pos", "_name")
-    per_row = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_names"))
-    both = df.join(per_row, F.col(row) == F.col("_row"), "left")
-    names = F.coalesce("_names", F.expr("cast(array() as array<struct<_pos:int,_name:string>>)"))
+    per_row = named.groupBy(F.col("_row").alias("_mask_row")).agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_mask_names"))
+    both = df.join(per_row, F.col(row) == F.col("_mask_row"), "left")
+    names = F.coalesce("_mask_names", F.expr("cast(array() as array<struct<_pos:int,_name:string>>)"))
     pieces = F.zip_with(F.split(F.col(text), pattern, -1), names, lambda p, n: F.concat(p, F.coalesce(n["_name"], F.lit(""))))
     return both.select(*df.columns, F.array_join(pieces, "").alias(out))
 
@@ -161,8 +161,8 @@ def sanitize_values(rows: DataFrame, row: str, key: str, order: str, terms: dict
     each = rows.select(row, key, order, F.posexplode(F.array_sort(F.map_entries("fields"))).alias("_at", "_f")).select(row, key, order, "_at", F.col("_f.key").alias("_name"), F.col("_f.value").alias("_text"))
     each = each.withColumns({"_id": F.struct(row, "_at"), "_place": F.col(order) * F.lit(NODE_FIELDS) + F.col("_at")})
     clean = sanitize(each, "_id", key, "_place", "_text", terms, "_clean", domain)
-    back = clean.groupBy(F.col(row).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_clean"))).alias("_fields"))
-    return rows.join(back, F.col(row) == F.col("_row"), "left").withColumn("fields", F.coalesce("_fields", "fields")).drop("_row", "_fields")
+    back = clean.groupBy(F.col(row).alias("_mask_row")).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_clean"))).alias("_mask_fields"))
+    return rows.join(back, F.col(row) == F.col("_mask_row"), "left").withColumn("fields", F.coalesce("_mask_fields", "fields")).drop("_mask_row", "_mask_fields")
 
 
 def action_stats(actions: DataFrame) -> DataFrame:
