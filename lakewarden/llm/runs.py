@@ -33,7 +33,7 @@ def canonical(value: Column | str) -> Column:
 
 
 def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Adds _k, the stretch between split points in which a row (_e, _b, _t, _i) lies within its hour, and _ks, the last there is.
+    """Where there are split points, adds _k, the stretch between split points in which a row (_e, _b, _t, _i) lies within its hour, and _ks, the last there is.
 
     About one event in ``block_rows`` is a split point, by its id.  It begins a stretch.
     """
@@ -41,7 +41,7 @@ def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     points = rows.where(split & F.col("_i").isNotNull()).groupBy(F.col("_e").alias("_pe"), F.col("_b").alias("_pb")).agg(F.sort_array(F.collect_set(F.struct("_t", "_i"))).alias("_at"))
     few = bounded_rows(points.select(F.explode("_at")), BROADCAST_SPLITS)
     if few == []:
-        return rows.withColumns({"_k": F.lit(0), "_ks": F.lit(0)})
+        return rows
     if few is not None:
         met = rows.join(F.broadcast(points), (F.col("_e") == F.col("_pe")) & (F.col("_b") == F.col("_pb")), "left")
     else:
@@ -67,8 +67,10 @@ def collapse_runs(
         raise ValueError("block_us must not be less than pause_us")
     keep = F.col(entity).isNotNull() & F.col(at_us).isNotNull()
     rows = events.where(keep).select(F.col(entity).alias("_e"), slot(at_us, block_us).alias("_b"), F.col(at_us).alias("_t"), F.col(order_id).alias("_i"), F.col(value).alias("_v"))
-    block = ["_e", "_b", "_k"]
-    rows = _in_blocks(rows, block_rows).repartition(*block).distinct()
+    rows = _in_blocks(rows, block_rows)
+    # A constant as a third key would be shuffled for once more.
+    block, stretch = (["_e", "_b", "_k"], F.max("_ks")) if "_k" in rows.columns else (["_e", "_b"], F.lit(0))
+    rows = rows.repartition(*block).distinct()
     in_block = Window.partitionBy(*block).orderBy("_t", "_i")
     numbered = rows.select(
         "*",
@@ -81,11 +83,11 @@ def collapse_runs(
     parts = numbered.groupBy(*block, "_v", "_d", "_s").agg(
         F.min("_t").alias("_from"), F.max("_t").alias("_to"),
         F.min_by("_i", "_n").alias("_first"), F.max_by("_i", "_n").alias("_last"),
-        F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max("_ks").alias("_ks"),
+        F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), stretch.alias("_ks"),
     )
     # A run may go on over a border only if no event of the entity stands between it and the border.
     size = Window.partitionBy(*block)
-    parts = parts.withColumn("_most", F.max("_hi").over(size))
+    parts = parts.withColumn("_most", F.max("_hi").over(size)).withColumn("_k", F.col("_k") if "_k" in block else F.lit(0))
     # Before the first split point there may be no event, so what follows it can go on from the hour before.
     opens = (F.col("_lo") == 1) & ((F.col("_k") > 0) | (F.col("_from") - F.col("_b") * block_us <= pause_us))
     closes = (F.col("_hi") == F.col("_most")) & ((F.col("_k") < F.col("_ks")) | ((F.col("_b") + 1) * block_us - F.col("_to") <= pause_us))
