@@ -26,20 +26,23 @@ DATE_ORDERS = ("DMY", "MDY", "YMD")
 # Month names as they are written in the formats below.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
-_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?"
+_FULL = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+_MONTH = rf"(?=(?:{_FULL})(?![a-z]))(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
+_DAY = "(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? )?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _HALF = r"(?: ?([AaPp][Mm]))?"
-_ZONE = r"(?: ?(?:([A-Z]{1,5})|([+-]\d{2}):?(\d{2})))?(?:\[([A-Za-z0-9_+\-/]+)\])?"
+_ZONE = r"(?: ?(?:([A-Z]{1,5}|z)|([+-]\d{2})(?::?(\d{2}))?))?(?:\[([A-Za-z0-9_+\-/]+)\])?"
 
 # Each pattern and the order of its groups in: year, month, day, hour, minutes:seconds.
 # fraction, half of the day, name of the zone, offset, region, how the value was written.
 FORMATS: list[tuple[str, str, str]] = [
-    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[T ]{_CLOCK}{_ZONE})?$", "$1|$2|$3|$4|$5:$6.$7||$8|$9:$10|$11|"),
+    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[Tt ]{_CLOCK}{_ZONE})?$", "$1|$2|$3|$4|$5:$6.$7||$8|$9:$10|$11|"),
     ("numeric date", rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$1|$2|$4|$5:$6.$7|$8|$9|$10:$11|$12|N"),
     ("number", r"^(-?\d{1,19}(?:\.\d{1,9})?)$", "$1|||||||||E"),
-    ("day month", rf"^(?:[A-Z][a-z]{{2}}, )?(\d{{1,2}})[ \-]{_MONTH}[ \-](\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$2|$1|$4|$5:$6.$7|$8|$9|$10:$11|$12|M"),
-    ("month day", rf"^(?:[A-Z][a-z]{{2}}, )?{_MONTH} (\d{{1,2}}),? (\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$1|$2|$4|$5:$6.$7|$8|$9|$10:$11|$12|M"),
-    ("compact", r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(\d{0,6})(?:(Z)|([+-]\d{2}):?(\d{2}))?$", "$1|$2|$3|$4|$5:$6.$7||$8|$9:$10||"),
+    ("day month", rf"^{_DAY}(\d{{1,2}})[ \-]{_MONTH}[ \-](\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$2|$1|$4|$5:$6.$7|$8|$9|$10:$11|$12|M"),
+    ("month day", rf"^{_DAY}{_MONTH} (\d{{1,2}}),? (\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$1|$2|$4|$5:$6.$7|$8|$9|$10:$11|$12|M"),
+    ("clock before year", rf"^{_DAY}{_MONTH} {{1,2}}(\d{{1,2}}) {_CLOCK}{_ZONE} (\d{{4}})$", "$11|$1|$2|$3|$4:$5.$6||$7|$8:$9|$10|M"),
+    ("compact", r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(\d{0,6})(?:(Z)|([+-]\d{2})(?::?(\d{2}))?)?$", "$1|$2|$3|$4|$5:$6.$7||$8|$9:$10||"),
     ("year first", rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:,?[T ]{_CLOCK}{_HALF}{_ZONE})?$", "$1|$2|$3|$4|$5:$6.$7|$8|$9|$10:$11|$12|"),
 ]
 
@@ -95,12 +98,13 @@ def _settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_w_one.{n}").alias(n) for n in columns])
 
 
-def with_instant(df: DataFrame, value: str, source: str | None, zones: DataFrame | None, out: str = "instant_us") -> DataFrame:
+def with_instant(df: DataFrame, value: str, source: str | None, zones: DataFrame | None, out: str = "instant_us", why: str | None = None) -> DataFrame:
     """Adds BIGINT ``out``: the instant of the time string in column ``value``, or null.
 
     ``source`` names a column that holds the source of each row, ``zones`` is the lookup of
     source_zones(); with neither, values without zone are UTC.  Null, empty and unreadable
-    values, impossible dates and skipped local times give null.  Rows are neither added nor
+    values, impossible dates and skipped local times give null.  ``why`` adds a column that tells what the
+    policy did: missing, unreadable, skipped, ambiguous (twice there: the earlier) or null.  Rows are neither added nor
     dropped; other columns of any name (but those that begin with ``_w_``) are kept.
     """
     kept = list(df.columns)
@@ -132,7 +136,8 @@ def with_instant(df: DataFrame, value: str, source: str | None, zones: DataFrame
     clock = F.rtrim(part(4), F.lit("."))
     clock = F.when(clock == ":", "00:00").when(F.endswith(clock, F.lit(":")), F.concat(clock, F.lit("00"))).otherwise(clock)
     named = (part(6) == "") & (part(7) == ":")
-    fixed = F.when(part(6).isin("Z", "UTC", "GMT", "UT"), "Z").when(part(7) != ":", part(7)).otherwise(F.try_element_at(F.col("_w_abbr"), part(6)))
+    offset = F.when(F.endswith(part(7), F.lit(":")), F.concat(part(7), F.lit("00"))).otherwise(part(7))
+    fixed = F.when(part(6).isin("Z", "z", "UTC", "GMT", "UT"), "Z").when(part(7) != ":", offset).otherwise(F.try_element_at(F.col("_w_abbr"), part(6)))
     there = F.when(part(8) != "", part(8)).otherwise(F.coalesce(F.col("_w_tz"), F.lit("UTC")))
     df = _settle(
         df,
@@ -148,7 +153,15 @@ def with_instant(df: DataFrame, value: str, source: str | None, zones: DataFrame
     epoch = F.when(scale.isNotNull(), (number * scale).cast("bigint")).when(size < 10**17, number.cast("bigint")).otherwise(F.floor(number / 1000).cast("bigint"))
     at = F.when(F.startswith(F.col("_w_zone"), F.lit(" ")) & skipped, None).otherwise(F.unix_micros("_w_at"))
     instant = F.when(number.isNotNull(), epoch).otherwise(at)
-    return df.select(*[F.col(f"`{c}`") for c in kept], instant.alias(out))
+    told = []
+    if why is not None:
+        # Zones go back by an hour, some by half of one or two.
+        later = [F.from_utc_timestamp(F.timestamp_micros(F.unix_micros("_w_at") + m * 60_000_000), F.ltrim("_w_zone")) == F.concat("_w_local", F.lit("Z")).try_cast("timestamp") for m in (30, 60, 120)]
+        twice = later[0] | later[1] | later[2]
+        local = F.startswith(F.col("_w_zone"), F.lit(" "))
+        reason = F.when(F.coalesce(v, F.lit("")) == "", "missing").when(local & skipped, "skipped").when(instant.isNull(), "unreadable").when(number.isNull() & local & twice, "ambiguous")
+        told = [reason.alias(why)]
+    return df.select(*[F.col(f"`{c}`") for c in kept], instant.alias(out), *told)
 
 
 PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?Z$"

@@ -263,6 +263,21 @@ def test_nested_edges(spark):
     assert [tuple(r) for r in table] == [(1, "doc.children[0].children[0]", "doc.children[0]", None, None), (1, "doc.children[0].children[1]", "doc.children[0]", "x", None)]
 
 
+def test_further_time_writings_and_reasons(spark):
+    zones = source_zones(spark.createDataFrame([("madrid", "Europe/Madrid", "DMY"), ("howe", "Australia/Lord_Howe", "DMY")], "log_source string, tz_name string, date_order string"))
+    rows = [
+        ("Thu Jan  2 03:04:05 2025", None, "2025-01-02T03:04:05+00:00", None), ("Thu Jan 2 03:04:05 UTC 2025", "madrid", "2025-01-02T03:04:05+00:00", None),
+        ("2025-01-02T03:04:05-03", "madrid", "2025-01-02T06:04:05+00:00", None), ("2025-01-02t03:04:05z", "madrid", "2025-01-02T03:04:05+00:00", None),
+        ("20250102T030405+01", None, "2025-01-02T02:04:05+00:00", None), ("January 2, 2025", None, "2025-01-02T00:00:00+00:00", None), ("2 Sept 2025", None, "2025-09-02T00:00:00+00:00", None),
+        ("Jantastic 2, 2025", None, None, "unreadable"), ("Foo, 02 Jan 2025 03:04:05 +0000", None, None, "unreadable"), ("2025-W01-4", None, None, "unreadable"), ("2025-02-30", None, None, "unreadable"),
+        ("2025-03-30 02:30:00", "madrid", None, "skipped"), ("2025-10-26 02:30:00", "madrid", "2025-10-26T00:30:00+00:00", "ambiguous"), ("2025-10-26 02:30:00+01:00", "madrid", "2025-10-26T01:30:00+00:00", None),
+        ("2025-04-06 01:45:00", "howe", "2025-04-05T14:45:00+00:00", "ambiguous"), (" ", "madrid", None, "missing"), (None, None, None, "missing"), ("1736071200", "madrid", "2025-01-05T10:00:00+00:00", None),
+    ]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s, *_) in enumerate(rows)], "i int, t string, src string")
+    got = {r.i: (r.instant_us, r.why) for r in with_instant(df, "t", "src", zones, why="why").collect()}
+    assert got == {i: (None if at is None else us(datetime.fromisoformat(at)), why) for i, (_, _, at, why) in enumerate(rows)}
+
+
 def test_tables_of_nested_records(spark):
     texts = [
         (1, '{"host":"a","tags":[1,"x",null],"alerts":[{"code":"A","evidence":{"kind":"k1","tags":[["t"]]}},{"code":1.50,"node_path":true,"deep":{"er":{"v":null}}}]}'),
