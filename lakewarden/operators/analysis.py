@@ -161,13 +161,18 @@ def pairwise(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: totals, averages, distinct incidents and rates."""
-    out = rows.agg(
-        F.count(F.lit(1)).alias("runs"), F.count_distinct("incident_key").alias("incidents"), F.count_distinct("model_label").alias("models"),
+    """One row: totals, averages, distinct incidents and rates.
+
+    Rows are added up per incident and model first, so the distinct counts expand groups, not rows.
+    """
+    sums = ["violation_count", "hard_violation_count", "llm_action_count", "human_action_count", "total_tokens"]
+    per = rows.groupBy("incident_key", "model_label").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("violation_count") > 0).alias("_bad"), *[F.sum(c).alias(c) for c in sums])
+    out = per.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("runs"), F.count_distinct("incident_key").alias("incidents"), F.count_distinct("model_label").alias("models"),
         F.coalesce(F.sum("violation_count"), F.lit(0)).alias("violations"), F.coalesce(F.sum("hard_violation_count"), F.lit(0)).alias("hard_violations"),
-        F.count_if(F.col("violation_count") > 0).alias("violating_runs"),
-        F.count_distinct(F.when(F.col("violation_count") > 0, F.col("incident_key"))).alias("violating_incidents"),
-        F.round(F.avg("llm_action_count"), 4).alias("llm_actions_avg"), F.round(F.avg("human_action_count"), 4).alias("human_actions_avg"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("violating_runs"),
+        F.count_distinct(F.when(F.col("_bad") > 0, F.col("incident_key"))).alias("violating_incidents"),
+        F.round(F.sum("llm_action_count") / F.sum("_n"), 4).alias("llm_actions_avg"), F.round(F.sum("human_action_count") / F.sum("_n"), 4).alias("human_actions_avg"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
     )
     return out.withColumns({"run_violation_rate": rate("violating_runs", "runs", 4), "incident_violation_rate": rate("violating_incidents", "incidents", 4)})
 

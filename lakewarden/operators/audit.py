@@ -165,6 +165,17 @@ def sanitize_values(rows: DataFrame, row: str, key: str, order: str, terms: dict
     return rows.join(back, F.col(row) == F.col("_mask_row"), "left").withColumn("fields", F.coalesce("_mask_fields", "fields")).drop("_mask_row", "_mask_fields")
 
 
+def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path, declared, actual, verdict of a manifest (path, sha256) against files (path, content): ok, changed, missing or undeclared.
+
+    A path that the manifest has twice with different sums is changed in one of them.
+    """
+    made = files.select("path", F.sha2("content", 256).alias("actual"), F.lit(True).alias("_there"))
+    met = manifest.select("path", F.lower("sha256").alias("declared"), F.lit(True).alias("_told")).join(made, "path", "full")
+    verdict = F.when(F.col("_told").isNull(), "undeclared").when(F.col("_there").isNull(), "missing").when(F.col("declared").eqNullSafe(F.col("actual")), "ok").otherwise("changed")
+    return met.select("path", "declared", "actual", verdict.alias("verdict"))
+
+
 def action_stats(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action_id").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("incident_id").alias("incidents"), F.count_if("approval").alias("approved"))
 

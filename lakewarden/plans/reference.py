@@ -682,7 +682,7 @@ def failure_summary(spark, root):
 
 @query(f"WITH {S.ROWS} SELECT count(DISTINCT llm_deployment) AS models, count(DISTINCT llm_arm) AS arms, count(DISTINCT incident_key) AS incidents, count(DISTINCT llm_deployment) * count(DISTINCT llm_arm) * count(DISTINCT incident_key) AS planned, count(DISTINCT CASE WHEN llm_deployment IS NOT NULL AND llm_arm IS NOT NULL THEN llm_deployment || '|' || llm_arm || '|' || incident_key END) AS done FROM rows_")
 def experiment_coverage(spark, root):
-    rows = runs(spark, root)
+    rows = runs(spark, root).select("llm_deployment", "llm_arm", "incident_key").distinct()
     cell = F.when(F.col("llm_deployment").isNotNull() & F.col("llm_arm").isNotNull(), F.concat_ws("|", "llm_deployment", "llm_arm", "incident_key"))
     out = rows.agg(F.count_distinct("llm_deployment").alias("models"), F.count_distinct("llm_arm").alias("arms"), F.count_distinct("incident_key").alias("incidents"), F.count_distinct(cell).alias("done"))
     return out.withColumn("planned", F.col("models") * F.col("arms") * F.col("incidents"))

@@ -391,3 +391,40 @@ def test_a_cluster_has_to_name_the_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_dir(Fake())
+
+
+def test_files_against_a_manifest(spark, tmp_path):
+    import hashlib
+
+    for name in ("a", "b", "d"):
+        (tmp_path / f"{name}.txt").write_text(name)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/*.txt").select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "content")
+    sums = [(f"{n}.txt", hashlib.sha256(n.encode()).hexdigest().upper()) for n in "abc"]
+    told = spark.createDataFrame([sums[0], ("b.txt", "00"), sums[2]], "path string, sha256 string")
+    got = {r.path: r.verdict for r in audit.verify_files(told, files).collect()}
+    assert got == {"a.txt": "ok", "b.txt": "changed", "c.txt": "missing", "d.txt": "undeclared"}
+
+
+def test_select_profiles(spark):
+    registry = spark.createDataFrame([("n1", "d", True), ("n2", "d", False), ("d", "x", False)], "name string, deployment string, enabled boolean")
+    assert {r.name for r in analysis.select_profiles(registry).collect()} == {"n1"}
+    asked = spark.createDataFrame([("d",), ("n2",), ("free",)], "selector string")
+    got = {r.selector: (r.name, r.deployment, r.ad_hoc) for r in analysis.select_profiles(registry, asked).collect()}
+    assert got == {"d": ("d", "x", False), "n2": ("n2", "d", False), "free": ("free", "free", True)}
+
+
+def test_parse_response(spark):
+    rows = ["```json\n{\"a\": [\"x\"]}\n```", "no", "[1]", '{"b": 1}', '{"a": "x"}', '{"a": [" x ", "y", "x", 5, null, "q", "q"]}', None, "", '{"a": []}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: tuple(r.p) for r in df.select("i", matching.parse_response("t", "a", ["x", "y"]).alias("p")).collect()}
+    assert [got[i][0] for i in range(len(rows))] == ["fenced", "broken", "no_object", "no_key", "no_list", None, "broken", "broken", None]
+    assert got[5][1:] == (["x", "y"], ["5", "None", "q", "q"]) and got[8][1:] == ([], [])
+    loose = df.where("i = 0").select(matching.parse_response("t", "a", ["x"], fence_allowed=True).alias("p")).first().p
+    assert tuple(loose) == (None, ["x"], [])
+
+
+def test_outcomes_of_a_grid(spark):
+    incidents = spark.createDataFrame([("i1",), ("i2",)], "incident_key string")
+    runs = spark.createDataFrame([(1, "i1", "m", "z", "t1", 2), (2, "i1", "m", "z", "t2", 0), (3, "i2", "m", "z", None, 1), (4, "i2", None, "z", None, 1)], "run_id int, incident_key string, llm_deployment string, llm_arm string, run_tag string, llm_action_count int")
+    got = {(r.incident_key, r.repeat): (r.run_id, r.error) for r in analysis.outcomes(analysis.grid(incidents, ["m"], ["z"], 2), runs).collect()}
+    assert got == {("i1", 1): (1, None), ("i1", 2): (2, "empty_plan"), ("i2", 1): (3, None), ("i2", 2): (None, "missing")}
