@@ -53,13 +53,15 @@ def pairs(records: DataFrame, fields: list[str], min_count: int = 1, min_share:
     the records of the field; ``min_lift`` bounds n_ab * n / (n_a * n_b) from below.
     Comparisons are exact, in whole numbers.  An empty table gives no rows.
     """
-    found = cut(counts(baskets(records, fields)))
+    made = counts(baskets(records, fields))
+    # Rare pairs, of which there are most, are dropped before anything is written.
+    found = cut(made.where(F.col("item_b").isNull() | (F.col("n") >= min_count)))
     total = found.where(F.col("item_a").isNull()).select("field_name", F.col("n").alias("n"))
     single = found.where(F.col("item_a").isNotNull() & F.col("item_b").isNull())
     pair = found.where(F.col("item_b").isNotNull()).select("field_name", F.col("item_a").alias("action_a"), F.col("item_b").alias("action_b"), F.col("n").alias("n_ab"))
     top, bottom = min_share
     # One row per field: as many rows as the caller gave names.
-    pair = pair.where(F.col("n_ab") >= min_count).join(F.broadcast(total), "field_name").where(F.col("n_ab") * F.lit(bottom) >= F.col("n") * F.lit(top))
+    pair = pair.join(F.broadcast(total), "field_name").where(F.col("n_ab") * F.lit(bottom) >= F.col("n") * F.lit(top))
     pair = pair.join(single.select("field_name", F.col("item_a").alias("action_a"), F.col("n").alias("n_a")), ["field_name", "action_a"])
     pair = pair.join(single.select("field_name", F.col("item_a").alias("action_b"), F.col("n").alias("n_b")), ["field_name", "action_b"])
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n", "n_a", "n_b")}
