@@ -51,7 +51,7 @@ TRULY = (
 )
 MANY_BYTES = frozenset(("gbk", "cp932", "cp949", "big5"))
 
-#: Prior odds that a stretch was read wrongly: 1 in TEXTS to begin with, then what the first model found besides so many texts.
+#: Prior odds that a stretch was read wrongly: 1 in so many texts, to which is added what the first model found of each reading.
 TEXTS = 100
 #: Odds that a stretch which was read wrongly was so once more.
 AGAIN = 0.1
@@ -237,10 +237,21 @@ def steps(word: str) -> Iterator[tuple[Step, str, float]]:
                 yield (true, read), out, 0.0
 
 
+def ways(step: Step) -> int:
+    """Among how many readings of its half a step is one."""
+    return _WAYS["utf-8" if step[0] == "utf-8" else "other"]
+
+
 @cache
-def price(path: Path, odds: float) -> float:
-    """-log of the prior odds of a path."""
-    return sum(log(_WAYS["utf-8" if true == "utf-8" else "other"] / (AGAIN if i else odds)) for i, (true, _) in enumerate(path))
+def further(path: Path) -> float:
+    """-log of the odds of steps that follow others."""
+    return sum(log(ways(step) / AGAIN) for step in path)
+
+
+def price(path: Path, model: Model) -> float:
+    """-log of the prior odds of a path: how often its first step was found, and one text in TEXTS spread over all readings."""
+    odds = (model.found.get(path[0], 0) + 1 / ways(path[0])) / (model.texts + TEXTS)
+    return further(path[1:]) - log(odds)
 
 
 def search(word: str, model: Model) -> dict[Path, tuple[float, str]]:
@@ -257,12 +268,12 @@ def search(word: str, model: Model) -> dict[Path, tuple[float, str]]:
     while heap:
         _, _, at, lost, path = heappop(heap)
         # A path that has paid as much as there is to gain leads to nothing; the first step's price is the stretch's.
-        if price(path[1:], AGAIN) + lost >= start:
+        if further(path[1:]) + lost >= start:
             continue
         for step, there, more in steps(at):
             way = (*path, step)
             # A further step has to make up for its own price; where only words together do, they are judged again after this path.
-            most = costs[at] - price((step,), AGAIN) if path else start
+            most = costs[at] - further((step,)) if path else start
             cost = costs.get(there)
             if cost is None and most <= 0.0 and step[0] != "utf-8":
                 continue
@@ -270,7 +281,7 @@ def search(word: str, model: Model) -> dict[Path, tuple[float, str]]:
                 cost = model.cost(there, start if step[0] == "utf-8" else most)
                 if step[0] == "utf-8":
                     costs[there] = cost
-                    heappush(heap, (cost + lost + more + price(way, model.odds), len(costs), there, lost + more, way))
+                    heappush(heap, (cost + lost + more + price(way, model), len(costs), there, lost + more, way))
                 elif not path:
                     costs[there] = cost
             if cost < most and cost + lost + more < start:
@@ -299,7 +310,10 @@ class Judge:
         self.costs: dict[tuple[str, Path], float] = {}
         self.best: dict[str, float] = {}
         self.held = 0
-        self.least = price((("utf-8", READ_AS[0]),), model.odds)
+        self.prices: dict[Path, float] = {}
+        self.least = min(price((step,), model) for step in [*model.found, ("utf-8", READ_AS[0])])
+        #: The readings that were undone in the last text.
+        self.undone: set[Step] = set()
 
     def options(self, word: str) -> dict[Path, tuple[float, str]]:
         out = self.known.get(word)
@@ -334,6 +348,7 @@ class Judge:
 
     def words(self, words: list[str]) -> dict[int, str]:
         """The places of garbled words in a text's words (those outside of ASCII, in order), and what each should be."""
+        self.undone = set()
         base = [unescape(w) for w in words]
         out = {i: w for i, w in enumerate(base) if _DEAD.search(w)}
         open_: dict[str, list[int]] = {}
@@ -351,7 +366,9 @@ class Judge:
                     most[path] = most.get(path, 0.0) + gain
             best, best_gain, stretch = None, 0.0, (0, 0)
             for path, upper in most.items():
-                cost = price(path, self.model.odds)
+                cost = self.prices.get(path)
+                if cost is None:
+                    cost = self.prices[path] = price(path, self.model)
                 if upper - cost <= best_gain:
                     continue
                 # The stretch of words with the largest sum; a word that comes again tells nothing new.
@@ -364,6 +381,7 @@ class Judge:
                         best, best_gain, stretch = path, run - cost, (begin, places[0])
             if best is None:
                 break
+            self.undone.add(best[0])
             for w in list(open_):
                 if stretch[0] <= open_[w][0] <= stretch[1] and self.gain(w, best) > 0:
                     # What is left may have been read wrongly in another way.
@@ -388,8 +406,8 @@ def _suspect(text: str) -> tuple[list[str], list[int], list[str]]:
     return parts, places, [parts[i] for i in places]
 
 
-def _counted(texts: DataFrame, odds: float, plain: bool = True) -> Model:
-    """The model of the words in ``texts`` (words ARRAY<STRING>) or, without ``plain``, of words with their number (word, n).
+def _counted(texts: DataFrame, plain: bool = True) -> np.ndarray:
+    """The table of the words in ``texts`` (words ARRAY<STRING>) or, without ``plain``, of words with their number (word, n).
 
     Counts are made where the words lie and added up by place: at most 2 * ROW places come to the driver.
     """
@@ -413,7 +431,7 @@ def _counted(texts: DataFrame, odds: float, plain: bool = True) -> Model:
     made = texts.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(2 * ROW, dtype=np.int64)
     table[made.column("place").to_numpy()] = made.column("n").to_numpy()
-    return Model(table, odds)
+    return table
 
 
 def train(documents: DataFrame) -> Model:
@@ -421,12 +439,12 @@ def train(documents: DataFrame) -> Model:
     split = F.split("text", r"[ \t\r\n]+")
     texts = documents.select(F.filter(split, lambda w: w.rlike(r"[^\x00-\x7F]")).alias("words")).where(F.size("words") > 0)
     texts = cut(texts.distinct())
-    sent = documents.sparkSession.sparkContext.broadcast(_counted(texts, 1 / TEXTS))  # of a fixed size
+    sent = documents.sparkSession.sparkContext.broadcast(Model(_counted(texts)))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            # Texts and garbled texts are counted under a word that there can't be.
+            # Texts, and those with each wrong reading, are counted under words that there can't be.
             found: dict[str, list[int]] = {"": [0, 0]}
             for words in batch.column(0).to_pylist():
                 bad = judge.words(words)
@@ -435,14 +453,17 @@ def train(documents: DataFrame) -> Model:
                     have[0] += 1
                     have[1] += i in bad
                 found[""][0] += 1
-                found[""][1] += bool(bad)
+                for true, read in judge.undone:
+                    found.setdefault(f"{true} {read}", [0, 0])[1] += 1
             n, bad = zip(*found.values(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], ["word", "n", "bad"])
 
     judged = cut(texts.mapInArrow(run, "word string, n bigint, bad bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
-    seen = judged.where("word = ''").first()
-    odds = (seen.bad + 1) / (seen.n + TEXTS) if seen else 1 / TEXTS
-    return _counted(judged.where((F.col("bad") * 2 <= F.col("n")) & (F.col("word") != "")).select("word", "n"), odds, plain=False)
+    # One row per reading at most, and one for the texts.
+    told = {r.word: r for r in judged.where("word = '' or contains(word, ' ')").collect()}
+    found = {tuple(w.split(" ")): r.bad for w, r in told.items() if w}
+    words = judged.where((F.col("bad") * 2 <= F.col("n")) & (F.col("word") != "") & ~F.contains("word", F.lit(" "))).select("word", "n")
+    return Model(_counted(words, plain=False), told[""].n if "" in told else 0, found)
 
 
 def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:

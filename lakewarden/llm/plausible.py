@@ -181,15 +181,15 @@ class Tally:
 class Model:
     """Costs in nats: -log of the probability of a word."""
 
-    def __init__(self, table: np.ndarray, odds: float = 1e-3):
+    def __init__(self, table: np.ndarray, texts: int = 0, found: dict[tuple[str, str], int] | None = None):
         self.table = np.ascontiguousarray(table, dtype=np.int64)
-        #: How often a stretch is read wrongly, before it is looked at.
-        self.odds = odds
+        #: Texts that were looked at before, and in how many of them each wrong reading was found.
+        self.texts, self.found = texts, found or {}
         self._at = memoryview(self.table)
         self._costs: dict[str, float] = {}
 
     def __reduce__(self) -> tuple:
-        return Model, (self.table, self.odds)
+        return Model, (self.table, self.texts, self.found)
 
     def count(self, gram: str) -> int:
         a, b = _places(gram)
