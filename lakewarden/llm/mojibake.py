@@ -57,8 +57,8 @@ TEXTS = 100
 AGAIN = 0.1
 #: Cost of a character outside of ASCII that a reading of UTF-8 leaves: one of its bytes must have been lost, as happens to one in a hundred.
 LOST = log(100)
-#: Characters of words whose findings a task remembers.
-REMEMBERED = 4_000_000
+#: Findings about words that a task remembers, some hundred bytes each.
+REMEMBERED = 1_000_000
 
 # Half of what is read wrongly is taken to be UTF-8, the other half any of the rest; of each half, all readings are as likely.
 _WAYS = {"utf-8": 2 * len(READ_AS), "other": 2 * len(READ_AS) * (len(TRULY) - 1)}
@@ -306,7 +306,8 @@ class Judge:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, dict[Path, tuple[float, str]]] = {}
+        self.known: dict[str, dict[Path, float]] = {}
+        self.paths: dict[Path, Path] = {}
         self.costs: dict[tuple[str, Path], float] = {}
         self.best: dict[str, float] = {}
         self.held = 0
@@ -315,35 +316,41 @@ class Judge:
         #: The readings that were undone in the last text.
         self.undone: set[Step] = set()
 
-    def options(self, word: str) -> dict[Path, tuple[float, str]]:
+    def _remember(self, n: int) -> None:
+        self.held += n
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.costs.clear()
+            self.best.clear()
+            self.paths.clear()
+            self.held = n
+
+    def options(self, word: str) -> dict[Path, float]:
+        """The paths that lead from a word to a cheaper one, and what each gains."""
         out = self.known.get(word)
         if out is None:
-            self.held += len(word)
-            if self.held > REMEMBERED:
-                self.known.clear()
-                self.costs.clear()
-                self.best.clear()
-                self.held = len(word)
-            out = self.known[word] = search(word, self.model)
+            out = {self.paths.setdefault(path, path): gain for path, (gain, _) in search(word, self.model).items()}
+            self._remember(len(out) + len(word) // 100 + 1)
+            self.known[word] = out
         return out
 
     def most(self, word: str) -> float:
         """The most that any path gains on a word."""
         out = self.best.get(word)
         if out is None:
-            gains = [g for g, _ in self.options(word).values()]
-            out = self.best[word] = max(gains, default=0.0)
+            out = self.best[word] = max(self.options(word).values(), default=0.0)
         return out
 
     def gain(self, word: str, path: Path) -> float:
         """What a path gains on a word; negative where the word would be worse, 0 where nothing changes."""
-        have = self.options(word).get(path)
-        if have is not None:
-            return have[0]
-        out = self.costs.get((word, path))
+        out = self.options(word).get(path)
+        if out is None:
+            out = self.costs.get((word, path))
         if out is None:
             there = follow(word, path)
-            out = self.costs[word, path] = 0.0 if there is None or there[0] == word else self.model.cost(word) - self.model.cost(there[0]) - there[1]
+            out = 0.0 if there is None or there[0] == word else self.model.cost(word) - self.model.cost(there[0]) - there[1]
+            self._remember(1)
+            self.costs[word, path] = out
         return out
 
     def words(self, words: list[str]) -> dict[int, str]:
@@ -362,7 +369,7 @@ class Judge:
                 break
             most: dict[Path, float] = {}
             for w in open_:
-                for path, (gain, _) in self.options(w).items():
+                for path, gain in self.options(w).items():
                     most[path] = most.get(path, 0.0) + gain
             best, best_gain, stretch = None, 0.0, (0, 0)
             for path, upper in most.items():
